@@ -28,7 +28,7 @@ PROBES = 5
 #: Most frequent words whose counts are broadcast exactly: 16 bytes each.
 HEAVY = 1 << 18
 #: Entries that a task holds before it sends blocks off.
-HELD = 3_000_000
+HELD = 1_500_000
 MU = 40.0
 
 
@@ -146,7 +146,7 @@ def score(spark: SparkSession, docs: DataFrame, train: F.Column | None = None, h
     fold = bucket_of("doc_id", 7) == 2 if held_out is None else held_out
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold.alias("held_out"))
     buckets = spread(spark, docs, 6 << 20)
-    parts = max(12, buckets // 4)
+    parts = max(12, buckets // 2)
 
     def count(batches):
         held, n = {0: ([], []), 1: ([], [])}, 0
