@@ -4,7 +4,8 @@ Base spans are matches of four patterns. The field runs over the tokens that hol
 their neighbours. Tokens inside base spans are evidence; the others get potentials from their shape, from adjacent tokens
 and from skip edges to tokens of the same document with an equal or similar form (equal digits). Loopy belief propagation, all documents of a
 batch at once, yields marginals; tokens above `SURE` become added spans. Weights are learned by pseudo-likelihood on a
-bounded sample of documents, with base spans as the labels.
+bounded sample of documents, with base spans as the labels; tokens of matches that the base rules drop although they hold
+many digits (a phone and a card run together) carry no label there, so the field decides them by their shape.
 """
 
 from __future__ import annotations
@@ -80,6 +81,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def unsure_spans(text: str) -> list[tuple[int, int]]:
+    """Matches that the base rules drop although they hold many digits, such as a phone and a card run together."""
+    out = []
+    if _DIGIT.search(text):
+        for pattern, least in ((_CARD, 9), (_PHONE, 9)):
+            for m in pattern.finditer(text):
+                if m.end() - m.start() >= least and sum("0" <= c <= "9" for c in m[0]) >= least:
+                    out.append(m.span())
+    return out
+
+
 LABELS = len(KINDS) + 1  # 0: none
 SHAPES = 16
 
@@ -117,7 +129,7 @@ class Graph:
     """Nodes of many documents with chain and skip edges."""
 
     def __init__(self, texts: list[str]):
-        self.spans, x, evidence, chain, skip = [], [], [], [], []
+        self.spans, x, evidence, chain, skip, unsure = [], [], [], [], [], []
         self.base = [base_spans(t) for t in texts]
         self.first = [0]
         for d, text in enumerate(texts):
@@ -125,6 +137,7 @@ class Graph:
             begin = len(self.spans)
             base, k, seen = self.base[d], 0, {}
             order = sorted(base)
+            open_ = unsure_spans(text) if own else []
             for i, (s, e) in enumerate(own):
                 node = begin + i
                 word = text[s:e]
@@ -134,6 +147,7 @@ class Graph:
                 self.spans.append((s, e))
                 x.append(_shape(word))
                 evidence.append(label)
+                unsure.append(label == 0 and any(a < e and b > s for a, b in open_))
                 if i and own[i - 1][1] >= s - 3:
                     chain.append((node - 1, node))
                 digits = "".join(c for c in word if "0" <= c <= "9")
@@ -147,6 +161,7 @@ class Graph:
             self.first.append(len(self.spans))
         self.x = np.array(x, float).reshape(-1, SHAPES)
         self.y = np.array(evidence, np.int64)
+        self.sure = ~np.array(unsure, bool)
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
 
@@ -165,8 +180,8 @@ def learn(graphs: list[Graph], steps: int = 150) -> dict:
             if len(edges):
                 np.add.at(side[:, lo : lo + LABELS], edges[:, 0], y[edges[:, 1]])
                 np.add.at(side[:, lo : lo + LABELS], edges[:, 1], y[edges[:, 0]])
-        xs.append(np.hstack([g.x, np.minimum(side, 2)]))
-        ys.append(y)
+        xs.append(np.hstack([g.x, np.minimum(side, 2)])[g.sure])
+        ys.append(y[g.sure])
     x, y = (np.concatenate(v) if v else np.zeros((0, w)) for v, w in ((xs, SHAPES + 2 * LABELS), (ys, LABELS)))
     w = np.zeros((SHAPES + 2 * LABELS, LABELS))
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
@@ -222,7 +237,7 @@ def all_spans(texts: list[str], w: dict) -> list[tuple[list, list]]:
         a, b = g.first[d], g.first[d + 1]
         base = g.base[d]
         added: list[tuple[int, int, int]] = []
-        if base and b > a:
+        if b > a:
             label = p[a:b].argmax(1)
             for i in np.flatnonzero((label > 0) & (p[a:b].max(1) >= SURE) & (g.y[a:b] == 0)):
                 s, e = g.spans[a + i]
@@ -258,7 +273,7 @@ def fit(spark: SparkSession, docs: DataFrame, most: int = FIT_ROWS) -> dict:
         for b in batches:
             if b.num_rows:
                 g = Graph([t or "" for t in b.column("text").to_pylist()])
-                yield pa.RecordBatch.from_pydict({"g": [pickle.dumps((g.x, g.y, g.chain, g.skip))]})
+                yield pa.RecordBatch.from_pydict({"g": [pickle.dumps((g.x, g.y, g.chain, g.skip, g.sure))]})
 
     import pickle
 
@@ -266,7 +281,7 @@ def fit(spark: SparkSession, docs: DataFrame, most: int = FIT_ROWS) -> dict:
     graphs = []
     for r in got:
         g = Graph([])
-        g.x, g.y, g.chain, g.skip = pickle.loads(bytes(r.g))
+        g.x, g.y, g.chain, g.skip, g.sure = pickle.loads(bytes(r.g))
         graphs.append(g)
     return learn(graphs)
 

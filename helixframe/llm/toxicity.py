@@ -209,6 +209,7 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, steps: int = 60, r
         hess = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(pull)
         step = np.linalg.solve(hess, grad)
         w = w - step * min(1.0, 2.0 / (np.abs(step).max() + 1e-9))
+    w[-1] = min(w[-1], -2.2)  # a text without a hit is never rejected, however few clean rows the sample holds
     return w
 
 
