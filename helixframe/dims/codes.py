@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import load
 
 ORDER = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
-DNA_CODES = {"A": "A", "C": "C", "G": "G", "T": "T", "M": "AC", "R": "AG", "W": "AT", "S": "CG", "Y": "CT", "K": "GT", "V": "ACG", "H": "ACT", "D": "AGT", "B": "CGT", "X": "GATC", "N": "GATC"}
+#: IUPAC letters, each before the bases it stands for.
+DNA_CODES = {w[0]: w[1:] for w in "AA CC GG TT MAC RAG WAT SCG YCT KGT VACG HACT DAGT BCGT XGATC NGATC".split()}
 _PROTEIN_CODES = [("B", "DN"), ("J", "IL"), ("Z", "EQ"), ("X", "ACDEFGHIKLMNPQRSTVWY")]
 _CUSTOM: list = []
 

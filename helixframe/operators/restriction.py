@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from ..dims import ENZYME_FIELDS, enzyme_table, load, supplier_table
 
-_LETTERS = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "W": "AT", "S": "GC", "M": "AC", "K": "GT", "H": "ACT", "B": "CGT", "V": "ACG", "D": "AGT", "N": "ACGT"}
+_LETTERS = {w[0]: w[1:] for w in "AA CC GG TT RAG YCT WAT SGC MAC KGT HACT BCGT VACG DAGT NACGT".split()}
 _COMPLEMENT = str.maketrans("ACGTRYWSMKHBVDN", "TGCAYRWSKMDVBHN")
 
 
