@@ -1,18 +1,21 @@
 """Pairwise alignment (L1-L8): affine gaps, global, local and with free ends; a Column function over pairs.
 
-No built-in expresses the recurrence, so pairs go to Python in Arrow batches, where a row of the table is one vector
-operation: the gap along the row is a running maximum. A score needs two rows of memory; a path needs the table, at most `CELLS`.
+No built-in expresses the recurrence, so pairs go to Python in Arrow batches. Many pairs of equal lengths fill their tables
+together, a cell of all of them per vector operation; of other pairs a row of the table is one, the gap along the row a running maximum. A score needs two rows of memory; a path needs the table, at most `CELLS`.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..dims import matrix
 
 #: Cells of a table that a path is traced through.
 CELLS = 64_000_000
+#: Cells of the tables that pairs of equal lengths fill together.
+BATCH_CELLS = 24_000_000
 LOW = -(1 << 40)
 
 
@@ -151,23 +154,119 @@ class Aligner:
         gaps = first.count("-") + second.count("-")
         return {"score": score, "gapped_first": first, "gapped_second": second, "start": start, "end": ends, "identities": same, "mismatches": len(first) - same - gaps, "gaps": gaps}
 
+    def _batch(self, first: list[str], second: list[str], trace: bool):
+        """Scores of pairs of equal lengths, a cell of all tables at a time; with trace also six choices per cell, as bits.
+
+        The recurrence of `_rows`: f == h, e == h, e == g, f == best, f opens here, e opens here.
+        """
+        n, m, k = len(first[0]), len(second[0]), len(first)
+        x, y = (np.ascontiguousarray(np.frombuffer("".join(v).encode("latin-1"), np.uint8).reshape(k, -1).T) for v in (first, second))
+        table = self._pairs("".join(set("".join(first))), "".join(set("".join(second))))[0]
+        top = (n + m + 2) * max(1, *map(abs, (self.match, self.mismatch, self.open, self.extend)), 0 if table is None else int(np.abs(table).max()))
+        kind, low = (np.int16, -16_000) if top < 8_000 else (np.int32, -(1 << 29)) if top < 1 << 28 else (np.int64, LOW)
+        full = lambda v: np.full(k, v, kind)
+        local, loose, opened, extend = self.mode == "local", self.mode == "local" or self.free, kind(self.open), kind(self.extend)
+        step, miss = kind(self.match - self.mismatch), kind(self.mismatch)
+        h = [full(0 if loose or j == 0 else self.open + (j - 1) * self.extend) for j in range(m + 1)]
+        g, f = list(h), [full(low)] * (m + 1)
+        bits = np.zeros((n + 1, m + 1, k), np.uint8) if trace else None
+        peak, right = full(0 if local else low), h[m]
+        for i in range(1, n + 1):
+            corner = h[0]
+            f[0] = np.maximum(g[0] + opened, f[0] + extend)
+            h[0] = best = full(0 if loose else self.open + (i - 1) * self.extend)
+            g[0], e = full(0 if loose else low), full(low)
+            for j in range(1, m + 1):
+                fresh = g[j] + opened
+                f[j] = np.maximum(fresh, f[j] + extend)
+                d = corner + (table[x[i - 1], y[j - 1]].astype(kind) if table is not None else (x[i - 1] == y[j - 1]) * step + miss)
+                if local:
+                    d = np.maximum(d, 0)
+                jump = best + opened
+                e = np.maximum(jump, e + extend)
+                best = np.maximum(d, f[j])
+                corner, h[j], g[j] = h[j], np.maximum(best, e), np.maximum(d, e)
+                if local:
+                    peak = np.maximum(peak, h[j])
+                if trace:
+                    for bit, same in enumerate((f[j] == h[j], e == h[j], e == g[j], f[j] == best, f[j] == fresh, e == jump)):
+                        bits[i, j] |= same.view(np.uint8) << np.uint8(bit)
+            right = np.maximum(right, h[m])
+        if local:
+            return peak, bits
+        return (np.maximum(right, np.max(h, axis=0)) if self.free else h[m]), bits
+
+    def _paths(self, first: list[str], second: list[str]) -> list[tuple]:
+        """Of global pairs of equal lengths what `align` finds: score, gapped strings, identities, mismatches, gaps."""
+        score, bits = self._batch(first, second, True)
+        n, m, k = len(first[0]), len(second[0]), len(first)
+        x, y = (np.frombuffer("".join(v).encode("latin-1"), np.uint8).reshape(k, -1) for v in (first, second))
+        p, q = (np.full((k, n + m), 45, np.uint8) for _ in range(2))
+        i, j, state, row, at = np.full(k, n), np.full(k, m), np.zeros(k, np.int8), np.arange(k), n + m
+        length = np.zeros(k, np.int64)
+        while len(row):
+            at -= 1
+            c = bits[i[row], j[row], row]
+            edge_i, edge_j = i[row] == 0, j[row] == 0
+            s = state[row]  # 0: h, 1: g, 2: best, 3: f, 4: e
+            s = np.where((s == 0) & (c & 1 > 0) | (s == 2) & (c & 8 > 0), 3, np.where((s == 0) & (c & 2 > 0) | (s == 1) & (c & 4 > 0), 4, s))
+            s = np.where(edge_j, 3, np.where(edge_i, 4, s))
+            up, left = s != 4, s != 3
+            p[row[up], at] = x[row[up], i[row[up]] - 1]
+            q[row[left], at] = y[row[left], j[row[left]] - 1]
+            state[row] = np.where(s == 3, np.where(c & 16 > 0, 1, 3), np.where(s == 4, np.where(c & 32 > 0, 2, 4), 0))
+            i[row] -= up
+            j[row] -= left
+            length[row] += 1
+            row = row[(i[row] > 0) | (j[row] > 0)]
+        out = []
+        same = ((p == q) & (p != 45) | (p == 45) & (q == 45)).sum(1) - (n + m - length)
+        gaps = ((p == 45).sum(1) + (q == 45).sum(1)) - 2 * (n + m - length)
+        for r in range(k):
+            z = n + m - int(length[r])
+            out.append((int(score[r]), p[r, z:].tobytes().decode("latin-1"), q[r, z:].tobytes().decode("latin-1"), int(same[r]), int(length[r] - same[r] - gaps[r]), int(gaps[r])))
+        return out
+
+    def _each(self, a: list, b: list, alone, together) -> list:
+        """Per pair its result, null where either is null or empty; many pairs of equal lengths go together."""
+        out: list = [None] * len(a)
+        groups: dict[tuple[int, int], list[int]] = {}
+        for r, (x, y) in enumerate(zip(a, b)):
+            if x and y:
+                groups.setdefault((len(x), len(y)), []).append(r)
+        for (n, m), rows in groups.items():
+            most = max(1, min(4096, BATCH_CELLS // ((n + 1) * (m + 1))))
+            for at in range(0, len(rows), most):
+                part = rows[at : at + most]
+                if together and len(part) > m:
+                    found = together([a[r] for r in part], [b[r] for r in part])
+                else:
+                    found = [alone(a[r], b[r]) for r in part]
+                for r, v in zip(part, found):
+                    out[r] = v
+        return out
+
     def score_column(self, a, b):
         """Score of two sequence columns; null where either is null or empty."""
-
-        @F.udf("bigint", useArrow=True)
-        def run(x, y):
-            return self.score(x, y) if x and y else None
+        @F.arrow_udf("bigint")
+        def run(x: pa.Array, y: pa.Array) -> pa.Array:
+            return pa.array(self._each(x.to_pylist(), y.to_pylist(), self.score, lambda p, q: self._batch(p, q, False)[0].tolist()), pa.int64())
 
         return run(a, b)
 
     def align_column(self, a, b):
         kind = "struct<score:bigint,gapped_first:string,gapped_second:string,identities:int,mismatches:int,gaps:int>"
+        names = ("score", "gapped_first", "gapped_second", "identities", "mismatches", "gaps")
+        types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
 
-        @F.udf(kind, useArrow=True)
-        def run(x, y):
-            if not x or not y:
-                return None
+        def alone(x, y):
             r = self.align(x, y)
-            return r["score"], r["gapped_first"], r["gapped_second"], r["identities"], r["mismatches"], r["gaps"]
+            return tuple(r[k] for k in names)
+
+        @F.arrow_udf(kind)
+        def run(x: pa.Array, y: pa.Array) -> pa.Array:
+            got = self._each(x.to_pylist(), y.to_pylist(), alone, self._paths if self.mode == "global" and not self.free else None)
+            parts = [pa.array([None if r is None else r[k] for r in got], t) for k, t in enumerate(types)]
+            return pa.StructArray.from_arrays(parts, fields=[pa.field(n, t) for n, t in zip(names, types)], mask=pa.array([r is None for r in got]))
 
         return run(a, b)
