@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
-    gone = near_dedup.near_duplicates(spark, docs).where("NOT kept").select("doc_id")
+    """One document of each group of texts with a similarity of 0.8 or more stays, the one with the smallest doc_id."""
+    gone = near_dedup.near_duplicates(spark, docs, num=80, den=100).where("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
