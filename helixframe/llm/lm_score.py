@@ -3,8 +3,8 @@
 Counting: every task reduces its tokens and bigrams to distinct 64-bit hashes with counts and ships them as one
 packed block per hash bucket; a bucket is merged by one sort. The number of buckets follows the input's bytes, so a
 bucket stays small at any size. Each bucket keeps exact token counts and builds its own segment of the filter: an
-n-gram of count c is entered once per level 1 .. log2(c), so the largest level found tells the quantised count. Bigrams
-seen once carry no entry (the usual cutoff), whatever the size of the corpus.
+n-gram of count c is entered once per level 1 .. 1 + log2(c), so the largest level found tells the quantised count. Tokens and
+bigrams seen once are entered too.
 
 Scoring: segments are broadcast; a Dirichlet-smoothed bigram model is read by repeated membership probes. The exact
 base score looks up the most frequent words (a bounded broadcast) on the spot and sends the other tokens,
@@ -98,23 +98,15 @@ class Filter:
         return out
 
 
-def token_levels(c: np.ndarray) -> np.ndarray:
+def levels_of(c: np.ndarray) -> np.ndarray:
     return (1 + np.floor(np.log2(np.maximum(c, 1)))).astype(np.int32)
 
 
-def pair_levels(c: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(c, 1))).astype(np.int32)
-
-
-def token_counts(level: np.ndarray) -> np.ndarray:
+def counts_of(level: np.ndarray) -> np.ndarray:
     """Middle of the range that a level stands for; 0 for no level."""
     return np.where(level <= 1, level, 1.5 * 2.0 ** (level - 1) - 0.5)
 
 
-def pair_counts(level: np.ndarray) -> np.ndarray:
-    return np.where(level == 0, 0.0, 1.5 * 2.0**level - 0.5)
-
-
 def _blocks(keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int):
     import pyarrow as pa
 
@@ -176,9 +168,8 @@ def score(spark: SparkSession, docs: DataFrame, train: F.Column | None = None, h
                 pick = np.flatnonzero(kinds == kind)
                 got.append(merged([np.zeros(0, np.uint64), *(np.frombuffer(keys[i], np.uint64) for i in pick)], [np.zeros(0, np.int64), *(np.frombuffer(counts[i], np.uint32).astype(np.int64) for i in pick)]))
             (w, c), (p, d) = got
-            p, d = p[d > 1], d[d > 1]
-            seg = segment(np.concatenate([w, p]), np.concatenate([token_levels(c), pair_levels(d)]))
-            hist = np.bincount(token_levels(c), minlength=64).astype(np.int64)
+            seg = segment(np.concatenate([w, p]), levels_of(np.concatenate([c, d])))
+            hist = np.bincount(levels_of(c), minlength=64).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"bucket": np.array([t.column("bucket")[0].as_py()], np.int32), "keys": [w.tobytes()], "counts": [c.tobytes()], "segment": [seg.tobytes()], "n": np.array([c.sum()], np.int64), "v": np.array([len(w)], np.int64), "hist": [hist.tolist()]})
 
     packed = source.where(~F.col("held_out")).select("text").mapInArrow(count, _BLOCK)
@@ -197,7 +188,7 @@ def score(spark: SparkSession, docs: DataFrame, train: F.Column | None = None, h
         for b in batches:
             for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
                 k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                top = token_levels(c) >= cutoff
+                top = levels_of(c) >= cutoff
                 yield pa.RecordBatch.from_pydict({"keys": [k[top].tobytes()], "counts": [c[top].tobytes()]})
 
     top = model.select("keys", "counts").mapInArrow(frequent, "keys binary, counts binary").collect()
@@ -205,13 +196,13 @@ def score(spark: SparkSession, docs: DataFrame, train: F.Column | None = None, h
     hc = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.counts, np.int64) for r in top)])
     order = np.argsort(hk)
     heavy = spark.sparkContext.broadcast((hk[order], hc[order]))
-    segments = spark.sparkContext.broadcast({r.bucket: bytes(r.segment) for r in model.select("bucket", "segment").collect()})
+    held_filter = spark.sparkContext.broadcast(Filter({r.bucket: r.segment for r in model.select("bucket", "segment").toLocalIterator()}, buckets))
     log_d = math.log10(total + distinct + 1)
 
     def judge(batches):
         import pyarrow as pa
 
-        f = Filter(segments.value, buckets)
+        f = held_filter.value
         hk, hc = heavy.value
         part, at = TaskContext.get().partitionId(), 0
         held, n = ([], [], []), 0
@@ -249,10 +240,10 @@ def score(spark: SparkSession, docs: DataFrame, train: F.Column | None = None, h
                 hv = is_heavy[inv]
                 nk[i : i + m] = np.add.reduceat(hv.astype(np.int64), first[:-1])
                 # the smoothed bigram model, by probes
-                q = token_counts(f.level(u))
+                q = counts_of(f.level(u))
                 p1 = (q + 1) / (total + distinct + 1)
                 g, ginv = np.unique(bigrams(h, first), return_inverse=True)
-                q2 = pair_counts(f.level(g))[ginv]
+                q2 = counts_of(f.level(g))[ginv]
                 prev = np.empty_like(inv)
                 prev[1:] = inv[:-1]
                 end = np.searchsorted(u, END)
