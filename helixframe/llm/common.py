@@ -8,6 +8,7 @@ their row count has been checked.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 #: Largest side (bytes) that a checked broadcast may send to every executor.
 BROADCAST_BYTES = 32 << 20
-#: Rows of an Arrow batch of texts: bounds what a Python worker holds when texts are long.
-TEXT_ROWS = 500
+#: Rows and bytes of an Arrow batch of texts: bound what a Python worker holds when texts are long.
+TEXT_ROWS, TEXT_BYTES = 500, 2 << 20
 #: Text bytes that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _LOCAL: list[str] = []
 
@@ -31,10 +32,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder; a temporary one only where none is configured and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="helixframe-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
@@ -62,8 +65,9 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches of whole texts by rows; a batch of very long texts stays within memory."""
+    """Bounds Arrow batches of whole texts by rows and bytes; a batch of very long texts stays within memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def bucket_of(doc_id: str | Column, modulus: int) -> Column:

@@ -1,8 +1,8 @@
 """MinHash near-dedup by a chosen-path set-similarity join.
 
 1. One pass turns each text into its set of five-word shingle hashes, a fingerprint of that set and a
-   one-permutation minwise sketch; texts are not carried on. Equal sets form a class, joined from here on
-   by its smallest document.
+   one-permutation minwise sketch; texts are not carried on. Equal sets form a class, named by the fingerprint
+   and standing for all its documents from here on.
 2. Chosen paths: in each of `trees` independent trees a class follows `branch` minwise tokens per node,
    chosen by the node, three levels deep. Nodes of one member vanish; equal nodes are kept once; nodes above
    `node_limit` are branched further.
@@ -18,14 +18,18 @@ over 0.9999 for s = 0.85, branch 2 and 3 trees.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_texts, chunks, cut, mix, runs, small, text_batches, union_find, word_hashes
 from .components import components
 
+if TYPE_CHECKING:  # workers import this module and need no pandas
+    import pandas as pd
+
 SKETCH = 64
 WORDS = 5
 
@@ -70,7 +74,7 @@ def sketch(values: np.ndarray) -> np.ndarray:
         hit = np.flatnonzero(full[picks])
         src = picks[hit[0]] if len(hit) else int(np.flatnonzero(full)[0])
         out[b] = mix(values[at[src] : at[src] + 1] + np.uint64(b))[0]
-    return (mix(out) >> np.uint64(32)).astype(np.uint32)
+    return (mix(out) >> np.uint64(48)).astype(np.uint16)
 
 
 def _children(paths: np.ndarray, sk: np.ndarray, pool: np.ndarray, branch: int) -> np.ndarray:
@@ -141,24 +145,20 @@ def _exact_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def _compare(num: int, den: int):
-    """Arrow batches (task, doc_id, text) sorted by task -> (task, a, b): star edges of confirmed components."""
+    """Arrow batches (task, cid, text) sorted by task -> (task, a, b): star edges of confirmed components of classes."""
 
     def run(batches):
         import pyarrow as pa
 
         task, a, b = [], [], []
         for t in runs(batches, "task"):
-            ids = t.column("doc_id").to_numpy()
-            label = _exact_links(list(shingle_sets(t.column("text"))), num, den)
-            order = np.argsort(ids, kind="stable")
-            low = np.full(len(ids), -1, np.int64)
-            for i in order:
-                if low[label[i]] < 0:
-                    low[label[i]] = ids[i]
-            own = low[label]
+            ids, first = np.unique(t.column("cid").to_numpy(), return_index=True)  # repeated rows of one text count once
+            label = _exact_links(list(shingle_sets(t.column("text").take(pa.array(first)))), num, den)
+            low = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(low, label, ids)
             task.append(np.full(len(ids), t.column("task")[0].as_py(), np.int64))
             a.append(ids)
-            b.append(own)
+            b.append(low[label])
             if sum(map(len, a)) > 10_000:
                 yield pa.RecordBatch.from_pydict({"task": np.concatenate(task), "a": np.concatenate(a), "b": np.concatenate(b)})
                 task, a, b = [], [], []
@@ -168,11 +168,46 @@ def _compare(num: int, den: int):
     return run
 
 
-def near_duplicates(
+def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: int = 100, **options) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept.
+
+    Links hold where den * |A & B| >= num * |A | B| over the full sets of distinct five-word shingles (lower-cased
+    A-Z, words between ASCII white space; a text of fewer words is one shingle). Null, empty and blank texts have
+    no shingles, link with nothing and are kept. Rows with a null doc_id are dropped; rows that agree in doc_id and shingle
+    set are one document, rows of one doc_id with different sets a document each, with a row and a component of its own;
+    component_id is the smallest doc_id of the component. An empty table gives no rows; other columns are ignored.
+    """
+    rows = _resolve(spark, docs.where("doc_id IS NOT NULL"), num, den, **options)
+    out = rows.select("cid", "doc_id", "n_shingles", F.col("best.doc_id").alias("component_id")).dropDuplicates(["cid", "doc_id"])
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100, **options) -> DataFrame:
+    """docs with one row of each group: that with the smallest doc_id (a null one counts as the largest), then the least text hash.
+
+    Rows that agree in doc_id and text are repeats, of which one stays, empty texts included; otherwise texts without words are no
+    copies of each other and stay. All columns of docs are kept; an empty table stays empty. What goes is a list of two numbers
+    a row, broadcast if its count shows that it is small; texts are shuffled only beyond that.
+    """
+    rows = _resolve(spark, docs, num, den, **options)
+    own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tkey") == F.col("best.tkey"))
+    marks = rows.withColumn("own", own).groupBy("doc_id", "tkey").agg(F.count("*").alias("n"), F.bool_and("own").alias("own"))
+    marks = cut(spark, marks.where("n > 1 OR NOT own").select(F.col("doc_id").alias("near_id"), F.col("tkey").alias("near_key"), "own"), "marks")
+    count = {r.own: r.n for r in marks.groupBy("own").agg(F.count("*").alias("n")).collect()}
+    match = docs["doc_id"].cast("long").eqNullSafe(marks["near_id"]) & (F.xxhash64(docs["text"].cast("string")) == marks["near_key"])
+    out = docs.join(small(marks, sum(count.values()), 64), match, "left_anti")
+    if count.get(True):
+        again = docs.join(small(marks.where("own"), count[True], 64), match)
+        kept = again.groupBy(marks["near_id"], marks["near_key"]).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+        out = out.unionByName(kept.select("row.*"))
+    return out
+
+
+def _resolve(
     spark: SparkSession,
     docs: DataFrame,
-    num: int = 85,
-    den: int = 100,
+    num: int,
+    den: int,
     trees: int = 3,
     branch: int = 2,
     node_limit: int = 128,
@@ -180,15 +215,9 @@ def near_duplicates(
     cluster_shingles: int = 4_000_000,
     seed: int = 1,
 ) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept.
-
-    Links hold where den * |A & B| >= num * |A | B| over the full sets of distinct five-word shingles (lower-cased
-    A-Z, words between ASCII white space; a text of fewer words is one shingle). Null, empty and blank texts have
-    no shingles, link with nothing and are kept. Rows with a null doc_id are dropped; a repeated doc_id with the
-    same text is one document; an empty table gives no rows; other columns are ignored.
-    """
+    """Per row of docs: doc_id, tkey (hash of the text), n_shingles, cid (class) and best, the (doc_id, tkey) that leads its component."""
     text_batches(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
 
     def scan(batches):
         import pyarrow as pa
@@ -201,28 +230,33 @@ def near_duplicates(
                 n.append(len(s))
                 k1.append(np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0))
                 k2.append(np.add.reduce(mix(s ^ np.uint64(0x5555))) if len(s) else np.uint64(0))
-                sk.append(sketch(s) if len(s) else np.zeros(SKETCH, np.uint32))
-            sk = np.stack(sk)
-            paths = chosen_paths(sk, trees, branch, seed).astype(np.int64)
-            width = paths.shape[1]
-            raw = sk.astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), pa.array([raw[256 * i : 256 * i + 256] for i in range(len(n))], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * width), pa.array(paths.ravel()))],
-                ["doc_id", "n_shingles", "k1", "k2", "sk", "paths"],
-            )
-
-    sets = cut(spark, source.mapInArrow(scan, "doc_id long, n_shingles long, k1 long, k2 long, sk binary, paths array<long>"), "sets")
-    keys = ["n_shingles", "k1", "k2"]
-    classes = sets.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
-    member = sets.select("doc_id", *keys).join(classes, keys, "left").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("rep", "doc_id")).alias("rep"))
-    member = cut(spark, member, "member")
-    reps = member.where("n_shingles > 0 AND doc_id = rep").select("doc_id", "n_shingles")
-
-    # nodes of the trees; those of one document vanish, equal ones are kept once
-    rows = sets.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("paths").alias("path"))
+                sk.append(sketch(s).astype("<u2").tobytes() if len(s) else None)
+            n = np.array(n, np.int64)
+            cid = mix(np.array(k1, np.uint64) * np.uint64(3) + np.array(k2, np.uint64) + n.view(np.uint64))
+            alone = mix(batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64) ^ np.uint64(0xA5A5A5A5)) ^ batch.column("tkey").to_numpy().view(np.uint64)
+            cid = np.where(n > 0, cid, alone).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(n), pa.array(cid), pa.array(sk, pa.binary())], ["doc_id", "tkey", "n_shingles", "cid", "sk"])
+
+    def paths(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                sk = np.frombuffer(b"".join(b.column("sk").to_pylist()), "<u2").reshape(-1, SKETCH)
+                p = chosen_paths(sk, trees, branch, seed).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))], [*b.schema.names, "paths"])
+
+    sets = cut(spark, source.mapInArrow(scan, "doc_id long, tkey long, n_shingles long, cid long, sk binary"), "sets")
+    lead = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tkey")
+    classes = sets.where("n_shingles > 0").groupBy("cid").agg(F.max("n_shingles").alias("n_shingles"), F.min(lead).alias("lead"), F.max("sk").alias("sk"))
+    classes = classes.select("cid", "n_shingles", F.col("lead.doc_id").alias("doc_id"), F.col("lead.tkey").alias("tkey"), "sk")
+    classes = cut(spark, classes.mapInArrow(paths, "cid long, n_shingles long, doc_id long, tkey long, sk binary, paths array<long>"), "classes")
+
+    # nodes of the trees; those of one class vanish, equal ones are kept once
+    rows = classes.select("cid", F.explode("paths").alias("path"))
 
     def shared(rows: DataFrame) -> DataFrame:
-        n = rows.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("f"), F.min("doc_id").alias("low"))
+        n = rows.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("f"), F.min("cid").alias("low"))
         return n.where("n > 1").groupBy("n", "f", "low").agg(F.min("path").alias("path")).drop("f")
 
     nodes = cut(spark, shared(rows), "nodes")
@@ -235,7 +269,7 @@ def near_duplicates(
             break
         inside = cut(spark, level_rows.join(big, "path"), "inside")
         if depth == 3:  # members share six or more tokens: one cluster, which the confirmation takes apart
-            stars.append(inside.select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+            stars.append(inside.select(F.col("cid").alias("a"), F.col("low").alias("b")))
             break
 
         def deeper(batches, depth=depth):
@@ -244,11 +278,11 @@ def near_duplicates(
             pool = np.random.default_rng(seed * 1000 + 500 + depth).permutation(SKETCH)
             for b in batches:
                 if b.num_rows:
-                    sk = np.frombuffer(b"".join(b.column("sk").to_pylist()), "<u4").reshape(-1, SKETCH)
+                    sk = np.frombuffer(b"".join(b.column("sk").to_pylist()), "<u2").reshape(-1, SKETCH)
                     child = _children(b.column("path").to_numpy().view(np.uint64), sk, pool, branch)
-                    yield pa.RecordBatch.from_pydict({"doc_id": np.repeat(b.column("doc_id").to_numpy(), branch), "path": child.ravel().view(np.int64)})
+                    yield pa.RecordBatch.from_pydict({"cid": np.repeat(b.column("cid").to_numpy(), branch), "path": child.ravel().view(np.int64)})
 
-        level_rows = cut(spark, inside.join(sets.select("doc_id", "sk").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "path", "sk").mapInArrow(deeper, "doc_id long, path long"), "deeper")
+        level_rows = cut(spark, inside.join(classes.select("cid", "sk"), "cid").select("cid", "path", "sk").mapInArrow(deeper, "cid long, path long"), "deeper")
         level = cut(spark, shared(level_rows), "nodes")
         small_nodes.append((level.where(F.col("n") <= node_limit), level_rows))
 
@@ -259,8 +293,8 @@ def near_duplicates(
 
         a, b = [], []
         for t in runs(batches, "path"):
-            ids = t.column("doc_id").to_numpy()
-            x = np.frombuffer(b"".join(t.column("sk").to_pylist()), "<u4").reshape(-1, SKETCH)
+            ids = t.column("cid").to_numpy()
+            x = np.frombuffer(b"".join(t.column("sk").to_pylist()), "<u2").reshape(-1, SKETCH)
             i, j = np.triu_indices(len(ids), 1)
             if len(i) <= 2000:
                 same = (x[i] == x[j]).sum(axis=1)
@@ -280,58 +314,65 @@ def near_duplicates(
             yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     for chosen, of in small_nodes:
-        inside = of.join(chosen.select("path"), "path").join(sets.select("doc_id", "sk").dropDuplicates(["doc_id"]), "doc_id")
-        stars.append(inside.select("path", "doc_id", "sk").repartition("path").sortWithinPartitions("path").mapInArrow(spanning, "a long, b long"))
+        inside = of.join(chosen.select("path"), "path").join(classes.select("cid", "sk"), "cid")
+        stars.append(inside.select("path", "cid", "sk").repartition("path").sortWithinPartitions("path").mapInArrow(spanning, "a long, b long"))
     edges = stars[0]
     for more in stars[1:]:
         edges = edges.unionByName(more)
-    cluster = cut(spark, components(spark, edges).join(reps, F.col("id") == F.col("doc_id")).select("doc_id", "n_shingles", F.col("component").alias("cluster")), "cluster")
+    light = classes.select("cid", "n_shingles", "doc_id", "tkey")
+    cluster = cut(spark, components(spark, edges).join(light, F.col("id") == F.col("cid")).select("cid", "n_shingles", "doc_id", "tkey", F.col("component").alias("cluster")), "cluster")
     found = _confirm(spark, source, cluster, num, den, cluster_docs, cluster_shingles)
-    n = found.count()
-    out = member.join(small(found, n, 64), member.rep == found.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    found = cut(spark, cluster.join(found, F.col("cid") == F.col("id")).select("cid", "component", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tkey").alias("lead")), "found")
+    best = found.groupBy("component").agg(F.min("lead").alias("best"))
+    best = found.join(best, "component").select("cid", "best")
+    led = light.join(best, "cid", "left").select("cid", F.coalesce("best", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tkey")).alias("best"))
+    out = sets.select("doc_id", "tkey", "n_shingles", "cid").join(led, "cid", "left")
+    return out.withColumn("best", F.coalesce("best", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tkey")))
 
 
 def _confirm(spark: SparkSession, source: DataFrame, cluster: DataFrame, num: int, den: int, most: int, weight: int) -> DataFrame:
-    """Rows (id, component) of class representatives whose links hold on full sets."""
+    """Rows (id, component) of classes whose links hold on full sets."""
     size = cluster.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     size = size.withColumn("blocks", F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("w") / weight)).cast("int"))
     size = cut(spark, size, "size")
+    name = ["cid", "doc_id", "tkey"]
     tasks = cluster.join(size.select("cluster", "blocks"), "cluster")
-    one = tasks.where("blocks <= 1").select("doc_id", F.xxhash64("cluster").alias("task"))
-    many = tasks.where("blocks > 1").select("doc_id", "cluster", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"))
+    one = tasks.where("blocks <= 1").select(*name, F.xxhash64("cluster").alias("task"))
+    many = tasks.where("blocks > 1").select(*name, "cluster", "blocks", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"))
     is_many = not size.where("blocks > 1").isEmpty()
     if is_many:
         many = cut(spark, many, "many")
-        # the pivots of a cluster: 16 documents of the least hash, found by a bounded aggregate
-        pivot = many.groupBy("cluster", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(16)).alias("p")).agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(9))).alias("doc_id"))
-        pivot = pivot.join(size.select("cluster", "blocks"), "cluster").select("doc_id", "cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-        placed = many.select("doc_id", "cluster", "block").unionByName(pivot.withColumn("block", F.col("block").cast("int"))).distinct()
-        one = one.unionByName(placed.select("doc_id", F.xxhash64("cluster", "block").alias("task")))
+        # the pivots of a cluster: 16 classes of the least hash, found by a bounded aggregate
+        pivot = many.groupBy("cluster", F.pmod(F.xxhash64("cid", F.lit(5)), F.lit(16)).alias("p")).agg(F.min_by(F.struct(*name), F.xxhash64("cid", F.lit(9))).alias("d"))
+        pivot = pivot.join(size.select("cluster", "blocks"), "cluster").select("d.*", "cluster", F.explode(F.expr("sequence(0, blocks - 1)")).cast("int").alias("block"))
+        placed = many.select(*name, "cluster", "block").unionByName(pivot).distinct()
+        one = one.unionByName(placed.select(*name, F.xxhash64("cluster", "block").alias("task")))
     found = cut(spark, _linked(source, one, cluster.count(), num, den), "linked")
     if not is_many:
         return found.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    single = found.join(many.select(F.col("doc_id").alias("a")), "a", "left_anti").select(F.col("a").alias("id"), F.col("b").alias("component"))
-    part = found.join(many.select(F.col("doc_id").alias("a")), "a", "left_semi").select("a", "b")
+    single = found.join(many.select(F.col("cid").alias("a")), "a", "left_anti").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    part = found.join(many.select(F.col("cid").alias("a")), "a", "left_semi").select("a", "b")
     comp = cut(spark, components(spark, part), "comp")
-    state = cut(spark, many.join(comp, many.doc_id == comp.id, "left").select("doc_id", "cluster", "block", "blocks", F.coalesce("component", "doc_id").alias("c")), "state")
+    state = cut(spark, many.join(comp, many.cid == comp.id, "left").select(*name, "cluster", "block", "blocks", F.coalesce("component", "cid").alias("c")), "state")
     main = state.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("c", "k").alias("main"))
     state = state.join(main, "cluster")
     rest = state.where("c <> main")
-    # a block with documents outside the main component meets every block of its cluster, a pair of blocks a task
+    # a block with classes outside the main component meets every block of its cluster, a pair of blocks a task
     odd = rest.select("cluster", "block").distinct()
     pairs = odd.join(size.select("cluster", "blocks"), "cluster").select("cluster", F.col("block").alias("x"), F.explode(F.expr("sequence(0, blocks - 1)")).cast("int").alias("y"))
-    left = rest.join(pairs.withColumnRenamed("x", "block"), ["cluster", "block"]).select("doc_id", F.xxhash64("cluster", "block", "y").alias("task"))
-    right = state.join(pairs.withColumnRenamed("y", "block"), ["cluster", "block"]).select("doc_id", F.xxhash64("cluster", "x", "block").alias("task"))
+    left = rest.join(pairs.withColumnRenamed("x", "block"), ["cluster", "block"]).select(*name, F.xxhash64("cluster", "block", "y").alias("task"))
+    right = state.join(pairs.withColumnRenamed("y", "block"), ["cluster", "block"]).select(*name, F.xxhash64("cluster", "x", "block").alias("task"))
     more = _linked(source, left.unionByName(right).distinct(), None, num, den).select("a", "b")
     final = components(spark, part.unionByName(more))
-    whole = many.select("doc_id").join(final, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component"))
+    whole = many.select("cid").join(final, F.col("cid") == F.col("id"), "left").select(F.col("cid").alias("id"), F.coalesce("component", "cid").alias("component"))
     return single.unionByName(whole)
 
 
 def _linked(source: DataFrame, tasks: DataFrame, rows: int | None, num: int, den: int) -> DataFrame:
-    side = tasks if rows is None else small(tasks, rows, 64)
-    placed = source.join(side, "doc_id").select("task", "doc_id", "text")
+    """Star edges between classes that a task of tasks(cid, doc_id, tkey, task) links; doc_id and tkey find the text of a class."""
+    side = tasks.withColumnsRenamed({"doc_id": "at_id", "tkey": "at_key"})
+    side = side if rows is None else small(side, rows, 96)
+    placed = source.join(side, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tkey") == F.col("at_key"))).select("task", "cid", "text")
     return placed.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(num, den), "task long, a long, b long").select("a", "b").distinct()
 
 
@@ -339,6 +380,8 @@ def brute_force(rows: list[tuple[int, str | None]], num: int = 85, den: int = 10
     """All pairs of a small fixture, by the definition; for tests."""
     import re
 
+    import pandas as pd
+
     def shingles(text: str | None) -> frozenset:
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", low)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_texts, bucket_of, chunks, mix, text_batches, word_hashes
+from .common import arrow_texts, bucket_of, chunks, mix, small, text_batches, word_hashes
 
 #: Labelled documents that the model is fitted on, at most (about, by hash).
 FIT_ROWS = 8_000
@@ -128,7 +128,7 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, train: Column, mos
     y = y.where(train)
     share = max(1, -(-y.count() // most))
     y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(share)) == 0)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(y, "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(y, 2 * most, 64), "doc_id")
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = FIT_ROWS) -> DataFrame:
