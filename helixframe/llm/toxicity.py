@@ -38,8 +38,8 @@ _FOLD = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c i
 class Automaton:
     """Deterministic table over letters for (term, is_stem, edits) entries; accepts give (term, edits).
 
-    A word is accepted by a term within its edits, and by a stem if some prefix of the word is within the stem's edits; the fewest
-    edits win, then the term that is listed first.
+    A word is accepted by a term within its edits, and by a stem if some prefix of the word, not the whole, is within the stem's
+    edits; the fewest edits win, then the term that is listed first.
     """
 
     def __init__(self, terms: list[tuple[str, bool, int]], exceptions: set[str] = frozenset()):
@@ -66,7 +66,7 @@ class Automaton:
                 end[node] = (k, stem)
 
         def close(states: set) -> frozenset:
-            """With deletions; a stem that is reached goes on as the state -1 - term, which any letter keeps."""
+            """With deletions; a stem that was passed is the state -1 - term, which any letter keeps."""
             best: dict[int, int] = {}
             todo = list(states)
             while todo:
@@ -76,8 +76,6 @@ class Automaton:
                 best[node] = e
                 if node >= 0:
                     todo += [(child, e + 1) for child in nxt[node].values()]
-                    if end[node] and end[node][1] and e <= terms[end[node][0]][2]:
-                        todo.append((-1 - end[node][0], e))
             sure = [n for n, e in best.items() if n < 0 and e == 0]
             return frozenset([(max(sure), 0)]) if sure else frozenset(best.items())
 
@@ -87,7 +85,7 @@ class Automaton:
         i = 0
         while i < len(order):
             st = order[i]
-            hits = sorted([(e, -1 - n) for n, e in st if n < 0] + [(e, end[n][0]) for n, e in st if n >= 0 and end[n] and e <= terms[end[n][0]][2]])
+            hits = sorted([(e, -1 - n) for n, e in st if n < 0] + [(e, end[n][0]) for n, e in st if n >= 0 and end[n] and not end[n][1] and e <= terms[end[n][0]][2]])
             accept.append((hits[0][1], hits[0][0]) if hits else (-1, 0))
             row = []
             for c in range(len(self.letters) + 1):
@@ -96,6 +94,8 @@ class Automaton:
                     if n < 0:
                         to.add((n, e))
                         continue
+                    if end[n] and end[n][1] and e <= terms[end[n][0]][2]:
+                        to.add((-1 - end[n][0], e))
                     if c in nxt[n]:
                         to.add((nxt[n][c], e))
                     to.add((n, e + 1))
@@ -211,7 +211,7 @@ def lexicon(spark: SparkSession, sample: DataFrame) -> tuple[list[tuple[str, boo
     telling = F.col("n1") >= SHARE * (F.col("n1") + F.col("n0"))
     strong = per.where((F.col("n1") >= LEAST) & telling).orderBy(F.desc("n1"), "word").limit(4 * TERMS).collect()
     stems = None
-    for size in (4, 5, 6):
+    for size in range(4, 9):
         part = per.where(F.length("word") > size).groupBy(F.substring("word", 1, size).alias("stem")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("k"), F.max("n1").alias("top"))
         part = part.where((F.col("n1") >= 2 * LEAST) & telling & (F.col("k") >= 4) & (F.col("top") * 2 <= F.col("n1")))
         stems = part if stems is None else stems.unionByName(part)

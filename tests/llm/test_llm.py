@@ -154,8 +154,8 @@ def test_automaton_is_exact():
 
     def least(w):
         whole = min(near(w, t) for t in [*terms, "scum"])
-        prefix = min(near(w[:k], "größe") for k in range(len(w) + 1))
-        return 0 if w.startswith("zqx") else min(whole, prefix)
+        prefix = min(near(w[:k], "größe") for k in range(len(w)))
+        return 0 if w.startswith("zqx") and w != "zqx" else min(whole, prefix)
 
     assert dict(zip(hit.tolist(), edits.tolist())) == {i: least(w) for i, w in enumerate(ws) if least(w) <= 1}
 
