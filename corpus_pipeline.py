@@ -11,15 +11,14 @@ from helixframe.llm.common import read, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; rows with a null doc_id, which it can't judge, stay."""
-    bad = toxicity.toxicity(spark, docs, read(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the classifier rejects go, those with a null doc_id included; null and empty texts stay."""
+    return toxicity.without_toxic(spark, docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with a similarity of 0.8 or more stays, the one with the smallest doc_id."""
-    gone = near_dedup.near_duplicates(spark, docs, num=80, den=100).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of texts with a similarity of 0.8 or more stays, the one with the smallest doc_id (a null one
+    counts as the largest); of repeated rows one stays; texts without words are no copies of each other."""
+    return near_dedup.deduplicated(spark, docs, num=80, den=100)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
