@@ -1,11 +1,15 @@
 """Personal data: exact base patterns and a skip-chain conditional random field that keeps labels consistent.
 
 Base spans are matches of four patterns. The field runs over the tokens that hold a digit or an at sign and
-their neighbours. Tokens inside base spans are evidence; the others get potentials from their shape, from adjacent tokens
-and from skip edges to tokens of the same document with an equal or similar form (equal digits). Loopy belief propagation, all documents of a
-batch at once, yields marginals; tokens above `SURE` become added spans. Weights are learned by pseudo-likelihood on a
-bounded sample of documents, with base spans as the labels; tokens of matches that the base rules drop although they hold
-many digits (a phone and a card run together) carry no label there, so the field decides them by their shape.
+their neighbours. Tokens inside base spans are evidence; the others get potentials from their shape, from adjacent tokens and
+from skip edges: all tokens of a document with an equal or similar form (equal digits, or the same start of an address) hang on one
+entity variable, so evidence reaches every repeat in one hop. Loopy belief propagation, all documents of a batch at once, yields
+marginals; tokens above `SURE` become added spans, cards only if they pass Luhn.
+
+Weights are learned by pseudo-likelihood on a bounded sample of documents, with base spans as the labels. The skip weights come from
+repeats that are made for it: a base span in another spelling (no plus, other separators, no last domain) has the span's label
+beside its entity and none without it. Tokens of matches that the base rules drop because several data run together carry no
+label there, so the field decides them by their shape.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Documents that the field is learned from, at most (about, by hash).
 FIT_ROWS = 4_000
 ROUNDS, SURE = 6, 0.8
+#: Log odds against an entity that no base span names; how firmly an entity takes the label of a base span.
+NAMELESS, NAMED = 3.0, 20.0
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -82,12 +88,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def unsure_spans(text: str) -> list[tuple[int, int]]:
-    """Matches that the base rules drop although they hold many digits, such as a phone and a card run together."""
+    """Matches that the base rules drop although they may hold several data, such as a phone and a card run together."""
     out = []
     if _DIGIT.search(text):
-        for pattern, least in ((_CARD, 9), (_PHONE, 9)):
+        for pattern, most in ((_CARD, 19), (_PHONE, 15)):
             for m in pattern.finditer(text):
-                if m.end() - m.start() >= least and sum("0" <= c <= "9" for c in m[0]) >= least:
+                parts = [p for p in re.split("[^0-9]+", m[0]) if p]
+                if len(parts) > 1 and (sum(map(len, parts)) > most or pattern is _CARD and not luhn("".join(parts)) and any(12 <= len(p) <= 19 and luhn(p) for p in parts)):
                     out.append(m.span())
     return out
 
@@ -125,93 +132,132 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _digits(t: str) -> str:
+    return "".join(c for c in t if "0" <= c <= "9")
+
+
+def forms(word: str) -> set[str]:
+    """Names of the entities that a token may stand for."""
+    out, digits = set(), _digits(word)
+    if digits or "@" in word:
+        out.add(word.strip(".,;:()").lower())
+    local, at, domain = word.strip(".,;:()").lower().partition("@")
+    if at and local and domain:
+        out.add(f"{local}@{domain.split('.')[0]}")
+    if len(digits) >= 4:
+        out |= {digits, digits[-7:], digits[-10:]}
+    return out
+
+
+def other_spelling(text: str, kind: int) -> str:
+    """A base span as it may be repeated: an address without its last domain, a number with other signs or none."""
+    if kind == 2:
+        return ".".join(re.findall(".{1,4}", _digits(text)))
+    return (text.rpartition(".")[0], text.replace(".", "-"), "", _digits(text))[kind]
+
+
 class Graph:
-    """Nodes of many documents with chain and skip edges."""
+    """Nodes of many documents: tokens, then entities; chain edges between tokens, skip edges (token, entity, by its own form)."""
 
     def __init__(self, texts: list[str]):
         self.spans, x, evidence, chain, skip, unsure = [], [], [], [], [], []
         self.base = [base_spans(t) for t in texts]
         self.first = [0]
+        self.made: list[tuple[list[float], int]] = []  # shapes and labels of base spans in another spelling
+        entities = 0
         for d, text in enumerate(texts):
             own = tokens(text) if (_DIGIT.search(text) or "@" in text) else []
             begin = len(self.spans)
-            base, k, seen = self.base[d], 0, {}
-            order = sorted(base)
+            base, k = self.base[d], 0
+            seen: dict[str, list[int]] = {}
             open_ = unsure_spans(text) if own else []
             for i, (s, e) in enumerate(own):
                 node = begin + i
                 word = text[s:e]
-                while k < len(order) and order[k][2] <= s:
+                while k < len(base) and base[k][2] <= s:
                     k += 1
-                label = next((b[1] + 1 for b in order[k:] if b[0] < e and b[2] > s), 0) if k < len(order) else 0
+                inside = [b for b in base[k : k + 4] if b[0] < e and b[2] > s]
                 self.spans.append((s, e))
                 x.append(_shape(word))
-                evidence.append(label)
-                unsure.append(label == 0 and any(a < e and b > s for a, b in open_))
+                evidence.append(inside[0][1] + 1 if inside else 0)
+                unsure.append(not inside and any(a < e and b > s for a, b in open_))
                 if i and own[i - 1][1] >= s - 3:
                     chain.append((node - 1, node))
-                digits = "".join(c for c in word if "0" <= c <= "9")
-                keys = {word.strip(".,;:()").lower()} if digits or "@" in word else set()
-                if len(digits) >= 4:
-                    keys |= {digits, digits[-7:]}
-                near = {seen[q] for q in keys if q in seen}
-                skip += [(p, node) for p in near]
+                keys = forms(word)
                 for q in keys:
-                    seen[q] = node
+                    seen.setdefault(q, []).append((node, 1))
+                for b in inside:  # a token of a number in groups also stands for the whole number
+                    for q in forms(text[b[0] : b[2]]) - keys:
+                        seen.setdefault(q, []).append((node, 0))
+            for members in {tuple(m) for m in seen.values() if len(m) > 1}:
+                skip += [(t, entities, own_form) for t, own_form in members]
+                entities += 1
+            self.made += [(_shape(other_spelling(text[s:e], kind)), kind + 1) for s, kind, e in base]
             self.first.append(len(self.spans))
         self.x = np.array(x, float).reshape(-1, SHAPES)
         self.y = np.array(evidence, np.int64)
         self.sure = ~np.array(unsure, bool)
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
-        self.skip = np.array(skip, np.int64).reshape(-1, 2)
-
-
-def _one_hot(y: np.ndarray) -> np.ndarray:
-    return np.eye(LABELS)[y]
-
-
-def learn(graphs: list[Graph], steps: int = 150) -> dict:
-    """Node, chain and skip weights by pseudo-likelihood: each label given its neighbours' labels."""
-    xs, ys = [], []
-    for g in graphs:
-        y = _one_hot(g.y)
-        side = np.zeros((len(g.y), 2 * LABELS))
-        for edges, lo in ((g.chain, 0), (g.skip, LABELS)):
-            if len(edges):
-                np.add.at(side[:, lo : lo + LABELS], edges[:, 0], y[edges[:, 1]])
-                np.add.at(side[:, lo : lo + LABELS], edges[:, 1], y[edges[:, 0]])
-        xs.append(np.hstack([g.x, np.minimum(side, 2)])[g.sure])
-        ys.append(y[g.sure])
-    x, y = (np.concatenate(v) if v else np.zeros((0, w)) for v, w in ((xs, SHAPES + 2 * LABELS), (ys, LABELS)))
-    w = np.zeros((SHAPES + 2 * LABELS, LABELS))
-    m1, m2 = np.zeros_like(w), np.zeros_like(w)
+        self.skip = np.array(skip, np.int64).reshape(-1, 3)
+        self.entities = entities
+
+
+def patterns(g: Graph) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (shape, labels beside, labels of the same entity, label) rows of a graph, small integers, with their counts."""
+    y = np.eye(LABELS)[g.y]
+    beside, same = np.zeros((len(g.y), LABELS)), np.zeros((len(g.y), LABELS))
+    if len(g.chain):
+        np.add.at(beside, g.chain[:, 0], y[g.chain[:, 1]])
+        np.add.at(beside, g.chain[:, 1], y[g.chain[:, 0]])
+    skip = g.skip[g.skip[:, 2] == 1]  # else the groups of one number would explain each other
+    if len(skip):
+        total = np.zeros((g.entities, LABELS))
+        np.add.at(total, skip[:, 1], y[skip[:, 0]])
+        np.add.at(same, skip[:, 0], total[skip[:, 1]] - y[skip[:, 0]])
+    rows = [np.hstack([g.x, np.minimum(beside, 2), same > 0, g.y[:, None]])[g.sure]]
+    for shape, label in g.made:
+        beside = 2 * np.eye(LABELS)[0]  # between two plain words
+        rows.append(np.array([[*shape, *beside, *np.eye(LABELS)[label], label], [*shape, *beside, *np.zeros(LABELS), 0]]))
+    got, n = np.unique(np.concatenate(rows).astype(np.int8), axis=0, return_counts=True)
+    return got, n
+
+
+def learn(rows: np.ndarray, n: np.ndarray, steps: int = 400) -> dict:
+    """Node, chain and skip weights by pseudo-likelihood: each label given the shape and its neighbours' labels."""
+    width = SHAPES + 2 * LABELS
+    rows = np.asarray(rows, float).reshape(-1, width + 1)
+    x, y = rows[:, :width], np.eye(LABELS)[rows[:, width].astype(int)]
+    x = np.hstack([x[:, : SHAPES + LABELS], np.zeros((len(x), 1)), x[:, SHAPES + LABELS + 1 :]])  # mates without a label say nothing
+    share = (n / max(n.sum(), 1))[:, None]
+    w, m1, m2 = (np.zeros((width, LABELS)) for _ in range(3))
     for step in range(1, steps + 1 if len(x) else 0):
         z = x @ w
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        grad = x.T @ (p - y) / len(x) + 1e-3 * w
+        grad = x.T @ ((p - y) * share) + 1e-4 * w
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         w -= 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    c, s = w[SHAPES : SHAPES + LABELS], w[SHAPES + LABELS :]
-    agree = np.eye(LABELS)
-    agree[0, 0] = 0
-    # a shared potential: symmetric, and never against agreement of equal tokens
-    return {"node": w[:SHAPES], "chain": (c + c.T) / 2, "skip": np.maximum((s + s.T) / 2, 0) * agree + 3.0 * agree - 1.5 * (1 - np.eye(LABELS)) * (np.arange(LABELS)[:, None] * np.arange(LABELS) > 0)}
+    c = w[SHAPES : SHAPES + LABELS]
+    return {"node": w[:SHAPES], "chain": (c + c.T) / 2, "skip": w[SHAPES + LABELS :]}
 
 
 def marginals(g: Graph, w: dict) -> np.ndarray:
-    """Loopy sum-product beliefs; base tokens are held at their labels."""
+    """Loopy sum-product beliefs of the tokens; base tokens are held at their labels."""
     n = len(g.y)
     node = g.x @ w["node"]
     node = node - np.logaddexp.reduce(node, axis=1, keepdims=True) if n else node
     known = g.y > 0
     node[known] = -30.0
     node[known, g.y[known]] = 0.0
-    src = np.concatenate([g.chain[:, 0], g.chain[:, 1], g.skip[:, 0], g.skip[:, 1]])
-    dst = np.concatenate([g.chain[:, 1], g.chain[:, 0], g.skip[:, 1], g.skip[:, 0]])
+    prior = np.tile([0.0] + [-NAMELESS] * (LABELS - 1), (g.entities, 1))
+    node = np.concatenate([node, prior])
+    token, entity = g.skip[:, 0], g.skip[:, 1] + n
+    src = np.concatenate([g.chain[:, 0], g.chain[:, 1], token, entity])
+    dst = np.concatenate([g.chain[:, 1], g.chain[:, 0], entity, token])
     nc, ns = len(g.chain), len(g.skip)
     back = np.concatenate([np.arange(nc) + nc, np.arange(nc), np.arange(ns) + 2 * nc + ns, np.arange(ns) + 2 * nc])
-    pot = np.concatenate([np.broadcast_to(w["chain"], (2 * nc, LABELS, LABELS)), np.broadcast_to(w["skip"], (2 * ns, LABELS, LABELS))])
+    down = np.where(known[token][:, None, None], NAMED * np.eye(LABELS) * (np.abs(w["skip"]).sum() > 0), w["skip"])  # entity, token
+    pot = np.concatenate([np.broadcast_to(w["chain"], (2 * nc, LABELS, LABELS)), down.transpose(0, 2, 1), down])
     msg = np.zeros((len(src), LABELS))
     belief = node.copy()
     for _ in range(ROUNDS if len(src) else 0):
@@ -221,6 +267,7 @@ def marginals(g: Graph, w: dict) -> np.ndarray:
         msg -= msg.max(1, keepdims=True)
         belief = node.copy()
         np.add.at(belief, dst, msg)
+    belief = belief[:n]
     p = np.exp(belief - belief.max(1, keepdims=True)) if n else belief
     return p / p.sum(1, keepdims=True) if n else p
 
@@ -253,6 +300,7 @@ def all_spans(texts: list[str], w: dict) -> list[tuple[list, list]]:
                     added[-1] = (added[-1][0], k, e)
                 else:
                     added.append((s, k, e))
+        added = [(s, k, e) for s, k, e in added if KINDS[k] != "card" or 12 <= len(_digits(text[s:e])) <= 19 and luhn(_digits(text[s:e]))]
         out.append((base, sorted(base + added)))
     return out
 
@@ -262,28 +310,21 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(spark: SparkSession, docs: DataFrame, most: int = FIT_ROWS) -> dict:
-    """Weights from a sample by hash of about `most` documents at most."""
+    """Weights from a sample by hash of about `most` documents at most; their distinct patterns are counted before they are gathered."""
     share = max(1, -(-docs.count() // most))
+    width = SHAPES + 2 * LABELS + 1
 
-    def shapes(batches):
-        import pickle
-
+    def count(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                g = Graph([t or "" for t in b.column("text").to_pylist()])
-                yield pa.RecordBatch.from_pydict({"g": [pickle.dumps((g.x, g.y, g.chain, g.skip, g.sure))]})
-
-    import pickle
-
-    got = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(share)) == 0).select(F.col("text").cast("string").alias("text")).mapInArrow(shapes, "g binary").collect()
-    graphs = []
-    for r in got:
-        g = Graph([])
-        g.x, g.y, g.chain, g.skip, g.sure = pickle.loads(bytes(r.g))
-        graphs.append(g)
-    return learn(graphs)
+                rows, n = patterns(Graph([t or "" for t in b.column("text").to_pylist()]))
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(n)], ["row", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(share)) == 0).select(F.col("text").cast("string").alias("text"))
+    got = sample.mapInArrow(count, "row binary, n long").groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").collect()  # a pattern is a few small integers
+    return learn(np.frombuffer(b"".join(bytes(r.row) for r in got), np.int8).reshape(-1, width), np.array([r.n for r in got], np.int64))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, redact: bool = False, most: int = FIT_ROWS) -> DataFrame:

@@ -38,7 +38,8 @@ def op7_lm_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
-    return url_filter.url_filter(spark, read(spark, d, "pages"))
+    pages = read(spark, d, "pages")
+    return url_filter.url_filter(spark, pages, listed=url_filter.spam_list(pages))
 
 
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact top-k inner-product search: tiled matrix products, partial selection per tile, tree merge of top lists.
 
-Queries go out in blocks of a fixed number of bytes (one pass over the vectors per block); a task multiplies the block
-with one tile of its partition at a time and keeps a running top list per query. The lists of the partitions meet in two
-merges, first within groups of partitions and then per query, each keeping k.
+Queries go out in blocks of a fixed number of bytes, one after the other: a block is gathered, sent to the workers, searched for
+in one pass over the vectors and forgotten, so the driver and the workers hold one block whatever the number of queries. A task
+multiplies the block with one tile of its partition at a time and keeps a running top list per query. The lists of the partitions
+meet in two merges, first within groups of partitions and then per query, each keeping k.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut
+
 QUERY_BYTES = 16 << 20
 TILE = 4096
 
@@ -72,6 +75,9 @@ def top_k(spark: SparkSession, table: DataFrame, every: int = 50, k: int = 5, sc
                 q.setdefault(d, []).append((ids[rows], np.floor(m * scale)))
         held = spark.sparkContext.broadcast({d: (np.concatenate([a for a, _ in x]), np.concatenate([m for _, m in x])) for d, x in q.items()})
         part = source.mapInArrow(_search(held, k, scale), "query_id long, vec_id long, score long, part int")
+        if blocks > 1:
+            part = cut(spark, part, "lists")
+            held.destroy()
         lists = part if lists is None else lists.unionByName(part)
     order = [F.desc("score"), "vec_id"]
     group = W.partitionBy("query_id", (F.col("part") / 32).cast("int")).orderBy(*order)

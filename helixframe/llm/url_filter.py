@@ -1,9 +1,10 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs in front of an exact hash join. DataFrame functions only.
 
-Listed entries are a host with its subdomains and a path prefix, or one whole canonical URL. Each page asks for the keys
-it could match: every suffix of its host with every prefix of its path whose length occurs in the list. A key picks one
-64-bit block of the filter and some of its bits; only keys whose bits are all set reach the exact join, which removes
-false positives. The filter is a table of blocks, broadcast when it is small (its size is known) and joined otherwise.
+Two kinds of entry decide about a page. Rules (a host with its subdomains and a path prefix) are few and become one expression.
+Listed URLs are many: each is brought to a canonical form, whose hash picks one 64-bit block of the filter and some of its bits.
+The filter is packed, `GROUP` blocks to a row and 8 bytes to a block, and broadcast behind a check of its size; pages whose bits are not
+all set pass by without a shuffle, the others go through the exact join, which removes false positives. A list too long for the
+broadcast goes to the exact join directly. Every page row is judged by itself.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import BROADCAST_BYTES, cut, small
 
 BITS = 5
+#: Listed URLs for a block (16 bits each), blocks of a row of the packed filter.
+PER_BLOCK, GROUP = 4, 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPAM = "casino|bets|pills"
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -28,8 +32,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    """host and path without scheme, query, fragment, a leading www. or m., a trailing slash or .html."""
-    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html?|/)$", ""))
+    """host and path without scheme, query, fragment, a leading www. or m., a trailing slash or .html; null without a host."""
+    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html?|/)\z", "")))
+
+
+def spam_list(pages: DataFrame) -> DataFrame:
+    """listed(url, verdict): the pages of a crawl that belong to hosts which sell bets or pills, to be blocked wherever they are mirrored."""
+    return pages.where(url_parts(F.col("url"))[0].rlike(SPAM)).select("url", F.lit("block").alias("verdict"))
 
 
 def _mask(key: Column) -> Column:
@@ -47,59 +56,68 @@ def _block(key: Column, blocks: int) -> Column:
 
 
 def build_filter(keys: DataFrame, blocks: int) -> DataFrame:
-    """Rows (block, word) of the filter for keys(key)."""
-    return keys.groupBy(_block(F.col("key"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("word"))
+    """Rows (group, words) of the packed filter for keys(key); absent blocks are 0."""
+    words = keys.groupBy(_block(F.col("key"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("word"))
+    entry = F.map_from_entries(F.collect_list(F.struct((F.col("block") % GROUP).cast("int"), "word")))  # at most GROUP blocks
+    packed = words.groupBy((F.col("block") / GROUP).cast("long").alias("group")).agg(entry.alias("m"))
+    return packed.select("group", F.transform(F.sequence(F.lit(0), F.lit(GROUP - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
 
 
-def url_filter(spark: SparkSession, pages: DataFrame, rules: list | DataFrame = RULES, listed: DataFrame | None = None) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict.
+def url_filter(spark: SparkSession, pages: DataFrame, rules: list = RULES, listed: DataFrame | None = None) -> DataFrame:
+    """Per page row: page_id, host, path, rule, verdict.
 
     rules: (verdict, host, path); one fits its host and all subdomains where the page's path starts with its own; the
-    longest wins, then the one that sorts first. listed(url, verdict): whole URLs, compared in canonical form, for pages that no rule fits.
-    What nothing lists is allowed, rule null. A url that is null or has no :// has an empty host and path and is
-    allowed. Repeated page_ids with equal url are one row, with different urls one each; null page_ids stay; an
-    empty table gives no rows; other columns are ignored.
+    longest wins, then the one that sorts first. listed(url, verdict): whole URLs, compared in canonical form, for pages that no
+    rule fits (their rule stays null); of two verdicts on one URL the larger holds. What nothing lists is allowed. A url that is
+    null or has no :// has an empty host and path and is allowed. Repeated rows are judged each, null page_ids too; an empty
+    table gives no rows; other columns are ignored.
     """
     host, path = url_parts(F.col("url"))
-    p = pages.select("page_id", "url").distinct().select("page_id", "url", host.alias("host"), path.alias("path"))
-    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "verdict string, host string, path string")
-    table = table.where("host IS NOT NULL AND host <> '' AND path IS NOT NULL").select(F.concat_ws("\u0001", F.lit("r"), "host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.length("path").alias("n"))
-    if listed is not None:
-        h, q = url_parts(F.col("url"))
-        table = table.unionByName(listed.where("url IS NOT NULL").select(F.concat_ws("\u0001", F.lit("u"), canonical(h, q)).alias("key"), canonical(h, q).alias("rule"), "verdict", F.lit(-1).alias("n")))
-    entries = table.groupBy("key").agg(F.min("rule").alias("rule"), F.min("verdict").alias("verdict"), F.min("n").alias("n"))
+    p = pages.select("page_id", host.alias("host"), path.alias("path"))
+    hit = F.lit(None).cast("struct<rule:string,verdict:string>")
+    for verdict, h, start in sorted((r for r in rules if r[1] and r[2] is not None), key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0]), reverse=True)[::-1]:
+        fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(start)
+        hit = F.when(fits, F.struct(F.lit(h + start).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(hit)
+    p = p.withColumn("hit", hit)
+    out = ["page_id", "host", "path", F.col("hit.rule").alias("rule")]
+    if listed is None:
+        return p.select(*out, F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"))
+    entries = listed.where("url IS NOT NULL").select(canonical(*url_parts(F.col("url"))).alias("key"), "verdict").where("key IS NOT NULL")
+    entries = cut(spark, entries.groupBy("key").agg(F.max("verdict").alias("verdict")).withColumnsRenamed({"key": "entry", "verdict": "listed"}), "listed")
     count = entries.count()
-    lengths = sorted(r.n for r in table.where("n >= 0").select("n").distinct().collect())  # at most as many as a path has lengths
-    blocks = max(16, count // 4)
-    words = build_filter(entries.select("key"), blocks)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda x: F.concat_ws("\u0001", F.lit("r"), s, x))))
-    if listed is not None:
-        keys = F.concat(keys, F.array(F.concat_ws("\u0001", F.lit("u"), canonical(F.col("host"), F.col("path")))))
-    asked = p.where("host <> ''").select("page_id", "url", F.explode(keys).alias("key"))
-    possible = asked.withColumn("block", _block(F.col("key"), blocks)).join(small(words, min(count, blocks), 64), "block").where(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
-    hits = possible.select("page_id", "url", "key").join(small(entries, count, 400), "key")
-    longest = F.struct((F.col("n") >= 0).alias("is_rule"), F.length("rule").alias("len"))
-    best = hits.groupBy("page_id", "url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(longest, F.col("rule"))).alias("hit"))
-    best = best.select(F.col("page_id").alias("hit_page"), F.col("url").alias("hit_url"), "hit")
-    out = p.join(best, F.col("page_id").eqNullSafe(F.col("hit_page")) & (F.col("url") == F.col("hit_url")), "left")
-    return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"))
+    p = p.withColumn("key", F.when(F.col("hit").isNull(), canonical(F.col("host"), F.col("path"))))
+    blocks = max(GROUP, -(-count // PER_BLOCK))
+    found = small(entries, count, 400)
+    if 8 * blocks > BROADCAST_BYTES:
+        asked = p.where("key IS NOT NULL").join(found, F.col("key") == F.col("entry"), "left")
+        passed = p.where("key IS NULL")
+    else:
+        words = F.broadcast(build_filter(entries.select(F.col("entry").alias("key")), blocks))
+        block = _block(F.coalesce("key", F.lit("")), blocks)
+        p = p.join(words, (block / GROUP).cast("long") == F.col("group"), "left")
+        word = F.coalesce(F.get("words", (block % GROUP).cast("int")), F.lit(0).cast("long"))
+        possible = F.col("key").isNotNull() & (word.bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
+        asked = p.where(possible).join(found, F.col("key") == F.col("entry"), "left")
+        passed = p.where(~F.coalesce(possible, F.lit(False)))
+    judged = asked.select(*out, F.coalesce("listed", F.lit("allow")).alias("verdict"))
+    return judged.unionByName(passed.select(*out, F.coalesce("hit.verdict", F.lit("allow")).alias("verdict")))
 
 
 SQL = """
 WITH u AS (
-  SELECT DISTINCT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
-), h AS (SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
 p AS (
-  SELECT page_id, url, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  SELECT row_number() OVER () AS row, page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM h
-), r(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+), c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html?|/)\\z', '') END AS key FROM p),
+l AS (SELECT DISTINCT key AS entry FROM c WHERE regexp_matches(host, 'casino|bets|pills') AND key IS NOT NULL),
+r(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 m AS (
-  SELECT p.*, r.verdict AS v, rhost || rpath AS rule,
-         row_number() OVER (PARTITION BY page_id, url ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
-  FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  SELECT c.*, r.verdict AS v, rhost || rpath AS rule,
+         row_number() OVER (PARTITION BY row ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+  FROM c LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
 )
-SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN entry IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM m LEFT JOIN l ON key = entry WHERE k = 1
 """

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -197,20 +198,47 @@ def test_pii(spark, docs, none):
     assert hidden[len(corpus())].startswith("<EMAIL>, call <PHONE>; card <CARD>; ip <IP>;") and None in hidden.values()
 
 
+def pii_weights():
+    rng = random.Random(1)
+    texts = [f"mail u{i}@b{i}.org ok. Phone +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} so. Card 4111111111111111 and {rng.randint(1, 5000)} cats in 2020, {rng.randint(10**10, 10**11)} ants, {10 * rng.randint(10**14, 10**15)} atoms at 10.0.0.{i}, 1.2.3" for i in range(150)]
+    return pii.learn(*pii.patterns(pii.Graph(texts)))
+
+
+def kinds_of(w, text):
+    (b, s), = pii.all_spans([text], w)
+    return [text[a:e] for a, k, e in s if (a, k, e) not in b]
+
+
 def test_pii_repeats_are_added():
-    w = pii.learn([pii.Graph(["call +1 (555) 555-1234 now", "mail a@b.co or 17 cats in 2020"] * 40)])
-    (b, s), = pii.all_spans(["call +1 (555) 555-1234 or later (555) 555-1234 again, 17 cats"], w)
-    assert len(b) == 1 and len(s) == 2 and s[1][1] == 3
+    w = pii_weights()
+    text = "call +1 (555) 555-1234 or later (555) 555-1234 again, 17 cats"
+    assert kinds_of(w, text) == ["(555) 555-1234"]
+    for n in range(1, 7):  # every repeat, however many and however far
+        filler = "so on " * 300
+        text = "tel +15551234567 " + filler + " ".join(["15551234567 and"] * n) + " 15559999999 not"
+        assert kinds_of(w, text) == ["15551234567"] * n, n
+    assert kinds_of(w, "write a.b@c.org soon. a.b@c now, x.y@z never") == ["a.b@c"]
+    without = {**w, "skip": np.zeros_like(w["skip"])}
+    assert kinds_of(without, "tel +15551234567 " + "so on " * 9 + "15551234567 and 15551234567") == []
+
+
+def test_pii_numbers_that_are_no_cards():
+    w = pii_weights()
+    assert not pii.luhn("4111111111111112") and kinds_of(w, "number 4111111111111112 twice 4111111111111112 so") == []
 
 
 def test_pii_run_together():
-    rng = random.Random(1)
-    texts = [f"mail u{i}@b{i}.org ok. Phone +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} so. Card 4111111111111111 and {rng.randint(1, 5000)} cats, {rng.randint(10**15, 10**16 - 1)} atoms" for i in range(150)]
-    w = pii.learn([pii.Graph(texts)])
-    (b, s), = pii.all_spans(["see x@y.org +1 (578) 555-6437 4111111111111111 ok, 2020 cats"], w)
+    (b, s), = pii.all_spans(["see x@y.org +1 (578) 555-6437 4111111111111111 ok, 2020 cats"], pii_weights())
     assert len(b) == 1 and [k for _, k, _ in s] == [0, 3, 2]
 
 
+def test_pii_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "z"), (1, "a@b.co", "y"), (None, "10.0.0.1", "x"), (2, None, None)], "doc_id long, text string, spans string")
+    got = sorted((str(r.doc_id), r.n_email, r.n_ip, r.spans) for r in pii.personal_data(spark, df).collect())
+    assert got == [("1", 1, 0, "email:0:6"), ("1", 1, 0, "email:0:6"), ("2", 0, 0, ""), ("None", 0, 1, "ip:0:8")]
+    assert sorted((str(r.text), str(r.spans)) for r in pii.personal_data(spark, df, redact=True).collect()) == [("<EMAIL>", "y"), ("<EMAIL>", "z"), ("<IP>", "x"), ("None", "None")]
+
+
 def test_lm(spark, docs, none):
     got = {r.doc_id: r for r in lm_score.score(spark, docs).collect()}
 
@@ -288,14 +316,47 @@ def test_topk(spark):
     assert got == want and topk.top_k(spark, spark.createDataFrame([], VECS)).count() == 0
 
 
+def test_topk_blocks_ties_and_repeats(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.randrange(400), [float(rng.randrange(3)) / 256 for _ in range(4)], 0, 0, "x") for _ in range(900)] + [(50, [0.0] * 4, 0, 0, "x")] * 3
+    df = spark.createDataFrame(rows, VECS).repartition(7)
+    want = []
+    for q, v, *_ in rows:
+        if q % 50 == 0:
+            want.append((q, v, sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, w)), i) for i, w, *_ in rows if i != q)[:5]))
+    one = {q: [x for _, _, x in g] for q, g in itertools.groupby(sorted(want, key=lambda x: x[0]), key=lambda x: x[0])}
+    single = {q: x[0] for q, x in one.items() if len(x) == 1}
+    for size in (16 << 20, 64):  # one block of queries, and many
+        monkeypatch.setattr(topk, "QUERY_BYTES", size)
+        got = collections.defaultdict(list)
+        for r in topk.top_k(spark, df).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((-r.score, r.vec_id))
+        assert set(got) == set(one) and all(got[q] == x for q, x in single.items())
+        for q, x in one.items():  # rows that repeat a query's id share its list: the best of them all
+            assert got[q] == sorted(itertools.chain(*x))[:5]
+
+
 def test_url_filter(spark):
     urls = ["http://A.net/x", "https://m.example.net/en/1?q#f", "http://x.example.com/de/", "http://example.com/den", "http://z.org/fr/a", "http://net", "http://notnet/", None, "nothing", "http://a.b/c?d://e", "ftp://www.List.com/p.html#x", "", "http://"]
     pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)] + [(0, urls[0], "h", "v"), (None, urls[1], "h", "v")], "page_id long, url string, html string, verdict string")
-    listed = spark.createDataFrame([("http://list.com/p", "block")], "url string, verdict string")
-    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(spark, pages, listed=listed).collect()]
-    assert sorted((g[0], g[3], g[4]) for g in got if g[0] is not None and g[3]) == [(0, "net/", "block"), (1, "example.net/en/", "allow"), (2, "example.com/de/", "block"), (4, "org/fr/", "allow"), (10, "list.com/p", "block")]
-    assert len(got) == len(urls) + 1 and [g[1:3] for g in got if g[0] == 9] == [("a.b", "/c")] and [g[1:3] for g in got if g[0] == 7] == [("", "")]
-    assert url_filter.url_filter(spark, pages.limit(0)).count() == 0
+    listed = spark.createDataFrame([("http://list.com/p", "block"), ("https://m.list.com/p/", "allow"), (None, "block"), ("no url", "block"), ("http://b.net/", "allow")], "url string, verdict string")
+    want = {0: ("net/", "block"), 1: ("example.net/en/", "allow"), 2: ("example.com/de/", "block"), 4: ("org/fr/", "allow"), 10: (None, "block")}
+    for more in (0, 9000):  # a list of more than one row of the packed filter
+        long = listed.unionByName(spark.range(more).select(F.concat(F.lit("http://many.com/"), "id").alias("url"), F.lit("block").alias("verdict")))
+        got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(spark, pages, listed=long).collect()]
+        assert len(got) == len(urls) + 2 and all(g[3:] == want.get(g[0], (None, "allow")) for g in got if g[0] is not None)
+        assert [g[1:3] for g in got if g[0] == 9] == [("a.b", "/c")] and [g[1:3] for g in got if g[0] == 7] == [("", "")]
+    assert url_filter.url_filter(spark, pages.limit(0), listed=listed).count() == 0
+    assert url_filter.url_filter(spark, pages, listed=listed.limit(0)).count() == len(urls) + 2
+
+
+def test_url_filter_has_no_false_hits(spark, monkeypatch):
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h.com/"), (F.col("id") % 3000).cast("string"), F.lit("/")).alias("url"))
+    listed = spark.range(0, 3000, 3).select(F.concat(F.lit("https://h.com/"), "id", F.lit(".html")).alias("url"), F.lit("block").alias("verdict"))
+    for limit in (32 << 20, 16):  # with the filter, and straight to the exact join
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+        got = {r.page_id: r.verdict for r in url_filter.url_filter(spark, pages, [], listed).collect()}
+        assert got == {i: "block" if i % 3000 % 3 == 0 else "allow" for i in range(4000)}
 
 
 def test_packing(spark, docs, none):
@@ -348,6 +409,49 @@ def test_mixing(spark, docs, none):
     assert sorted(zip(got.doc_id, got.mix_copies)) == sorted(zip(again.doc_id, again.mix_copies))
     assert mixing.mix(spark, none).count() == 0
     assert mixing.mixed(spark, docs, total=10**9, epochs=2).count() == 2 * len(corpus())
+    assert sorted(r.doc_id for r in mixing.mixed(spark, docs, ratio=0.5, epochs=2).collect()) == sorted(i for i, n in zip(got.doc_id, got.mix_copies) for _ in range(n))
+
+
+def test_budget_below_a_weight_of_nothing():
+    leaves = {("a", "x", "1"): 900, ("a", "y", "2"): 10, ("b", "x", "3"): 5000}
+    got = mixing.budgets(leaves, {"a": (0.5, {"x": (0.0, {})}), "b": (0.5, {})}, 1000, 1)
+    assert got == {("a", "x", "1"): 0, ("a", "y", "2"): 10, ("b", "x", "3"): 990}
+
+
+def test_mixing_takes_the_longest_prefix(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, k // 2]), " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 30))), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", None]), "x") for k in range(300)]
+    rows += rows[:40] + [rows[7]] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_tokens string")
+    for ratio, epochs in ((0.5, 2), (0.9, 1), (1.3, 3)):
+        light, _ = mixing.plan(spark, df, ratio=ratio, epochs=epochs)
+        light = light.collect()
+        chosen = mixing.mix(spark, df, ratio=ratio, epochs=epochs).collect()
+        got = collections.Counter()
+        for r in chosen:
+            got[r.doc_id, r.mix_domain, r.mix_lang, r.mix_source, r.mix_tokens] += r.mix_copies
+        sums = collections.Counter()
+        for r in light:
+            sums[r.mix_domain, r.mix_lang, r.mix_source] += r.mix_tokens
+        shares = mixing.budgets(dict(sums), mixing.WEIGHTS, int(ratio * sum(sums.values())), epochs)
+        want = collections.Counter()
+        for leaf, budget in shares.items():
+            full, rest = divmod(budget, sums[leaf]) if sums[leaf] else (0, 0)
+            places = collections.defaultdict(list)
+            for r in light:
+                if (r.mix_domain, r.mix_lang, r.mix_source) == leaf:
+                    places[r.mix_place].append(r)
+                    want[r.doc_id, *leaf, r.mix_tokens] += full
+            spent = 0
+            for at in sorted(places):
+                spent += sum(r.mix_tokens for r in places[at])
+                if spent > rest or rest == 0:
+                    break
+                for r in places[at]:
+                    want[r.doc_id, *leaf, r.mix_tokens] += 1
+        assert got == +want and sum(k[-1] * n for k, n in got.items()) <= sum(shares.values())
+        assert mixing.mixed(spark, df, ratio=ratio, epochs=epochs).count() == sum(got.values())
+        assert mixing.mixed(spark, df, ratio=ratio, epochs=epochs).columns == df.columns
 
 
 def test_pipeline(spark, tmp_path):
