@@ -6,17 +6,18 @@ bucket stays small at any size. Each bucket keeps exact token counts and builds
 n-gram of count c is entered once per level 1 .. 1 + log2(c), so the largest level found tells the quantised count. Tokens and
 bigrams seen once are entered too.
 
-Scoring: segments are broadcast; a Dirichlet-smoothed bigram model is read by repeated membership probes. The exact
-base score looks up the most frequent words (a bounded broadcast) on the spot and sends the other tokens,
-packed, to their bucket, which holds the exact counts.
+Scoring: segments are broadcast as one file, written segment by segment, which the workers of an executor map into memory and
+share; a Dirichlet-smoothed bigram model is read by repeated membership probes. The exact base score looks up the most frequent
+words (a bounded broadcast) on the spot and sends the other tokens, packed, to their bucket, which holds the exact counts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark import TaskContext
+from pyspark import Broadcast, SparkContext, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,14 +60,14 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _slots(keys: np.ndarray, level: int, bits: np.ndarray | int) -> list[np.ndarray]:
-    a = mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    a = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
     b = mix(a ^ np.uint64(0xABCDEF)) | np.uint64(1)
     return [(a + np.uint64(i) * b) % np.asarray(bits, np.uint64) for i in range(PROBES)]
 
 
-def segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+def segment(keys: np.ndarray, levels: np.ndarray, per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
     """A filter (bytes) that holds each key at levels 1 .. its own."""
-    bits = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8)
+    bits = max(64, -(-int(levels.sum()) * per_entry // 8) * 8)
     flags = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for slot in _slots(keys[levels >= level], level, bits):
@@ -74,18 +75,42 @@ def segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.packbits(flags)
 
 
+class FileBroadcast(Broadcast):
+    """A broadcast of bytes that never stand in the driver's memory as a whole: chunks are written as they come.
+
+    The file is the pickle of one bytes object, so value works as usual; workers rather map its bytes (``mapped``).
+    """
+
+    HEAD = 11
+
+    def __init__(self, sc: SparkContext, chunks_: Iterator[bytes], size: int):
+        super().__init__(sc, (chunks_, size), sc._pickled_broadcast_vars)
+
+    def dump(self, value, f) -> None:
+        chunks_, size = value
+        f.write(b"\x80\x05\x8e" + size.to_bytes(8, "little"))
+        for chunk in chunks_:
+            f.write(chunk)
+        f.write(b".")
+        f.close()
+
+
+def mapped(held: Broadcast, size: int) -> np.ndarray:
+    """On a worker: the bytes of a FileBroadcast, shared with the other workers of the executor."""
+    path = getattr(held, "_path", None)
+    return np.memmap(path, np.uint8, "r", FileBroadcast.HEAD, (size,)) if path and size else np.frombuffer(held.value, np.uint8)
+
+
 class Filter:
     """All segments laid end to end; level() probes level after level until one is missing."""
 
-    def __init__(self, segments: dict[int, bytes], buckets: int):
-        size = np.array([len(segments.get(i, b"")) or 8 for i in range(buckets)], np.int64)
-        self.data = np.frombuffer(b"".join(segments.get(i) or bytes(8) for i in range(buckets)), np.uint8)
-        self.bits, self.start, self.buckets = (size * 8).astype(np.uint64), (np.cumsum(size) - size) * 8, buckets
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.data, self.start, self.bits, self.buckets = data, start * 8, np.maximum(size * 8, 1).astype(np.uint64), len(size)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int32)
         seg = (keys % np.uint64(self.buckets)).astype(np.int64)
-        alive, level = np.arange(len(keys)), 1
+        alive, level = np.flatnonzero(self.bits[seg] > 1), 1
         while len(alive):
             k, s = keys[alive], seg[alive]
             ok = np.ones(len(alive), bool)
@@ -125,13 +150,13 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int):
 _BLOCK = "bucket int, kind int, keys binary, counts binary, rows binary"
 
 
-def score(spark: SparkSession, docs: DataFrame, train: F.Column | None = None, held_out: F.Column | None = None) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, held_out: F.Column | None = None, per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the lower-cased (A-Z) words between ASCII white space, then one end; a null or empty text is the end
     alone. Counts come from all rows where held_out is false. n_known counts tokens seen there, base_score is the
-    sum of log10((c + 1) / (N + V + 1)); score is the log10 probability under the smoothed bigram model. With
-    nothing to learn from, c, N and V are 0. Rows with a null doc_id are dropped; a repeated doc_id gives a row
+    sum of log10((c + 1) / (N + V + 1)); score is the log10 probability under the smoothed bigram model, its counts read from a
+    filter of per_entry bits for each level of an n-gram. With nothing to learn from, c, N and V are 0. Rows with a null doc_id are dropped; a repeated doc_id gives a row
     each and counts each time; an empty table gives no rows; other columns are ignored.
     """
     text_batches(spark)
@@ -168,7 +193,7 @@ def score(spark: SparkSession, docs: DataFrame, train: F.Column | None = None, h
                 pick = np.flatnonzero(kinds == kind)
                 got.append(merged([np.zeros(0, np.uint64), *(np.frombuffer(keys[i], np.uint64) for i in pick)], [np.zeros(0, np.int64), *(np.frombuffer(counts[i], np.uint32).astype(np.int64) for i in pick)]))
             (w, c), (p, d) = got
-            seg = segment(np.concatenate([w, p]), levels_of(np.concatenate([c, d])))
+            seg = segment(np.concatenate([w, p]), levels_of(np.concatenate([c, d])), per_entry)
             hist = np.bincount(levels_of(c), minlength=64).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"bucket": np.array([t.column("bucket")[0].as_py()], np.int32), "keys": [w.tobytes()], "counts": [c.tobytes()], "segment": [seg.tobytes()], "n": np.array([c.sum()], np.int64), "v": np.array([len(w)], np.int64), "hist": [hist.tolist()]})
 
@@ -196,13 +221,24 @@ def score(spark: SparkSession, docs: DataFrame, train: F.Column | None = None, h
     hc = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.counts, np.int64) for r in top)])
     order = np.argsort(hk)
     heavy = spark.sparkContext.broadcast((hk[order], hc[order]))
-    held_filter = spark.sparkContext.broadcast(Filter({r.bucket: r.segment for r in model.select("bucket", "segment").toLocalIterator()}, buckets))
+    lay = model.select("bucket", F.length("segment").alias("size"))
+    sizes, starts, at = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), 0
+    whole = int(lay.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+
+    def segments():
+        nonlocal at
+        for r in model.select("bucket", "segment").toLocalIterator():  # a partition of the table at a time
+            sizes[r.bucket], starts[r.bucket] = len(r.segment), at
+            at += len(r.segment)
+            yield bytes(r.segment)
+
+    held_filter = FileBroadcast(spark.sparkContext, segments(), whole)
     log_d = math.log10(total + distinct + 1)
 
     def judge(batches):
         import pyarrow as pa
 
-        f = held_filter.value
+        f = Filter(mapped(held_filter, whole), starts, sizes)
         hk, hc = heavy.value
         part, at = TaskContext.get().partitionId(), 0
         held, n = ([], [], []), 0

@@ -120,6 +120,23 @@ def test_quality(spark, none):
     assert set(out) == {1, 2, 3, 4} and out[1].score == 0.5 and out[1].predicted == 1
 
 
+def test_quality_by_words_alone(spark):
+    """Good and bad texts of the same letters, lengths and repetition: only the words tell."""
+    rng = random.Random(6)
+    good = ["".join(rng.sample("abcdefgh", 6)) for _ in range(60)]
+    bad = [w[::-1] for w in good]
+    rows, labels = [], []
+    for i in range(900):
+        y = rng.random() < 0.5
+        rows.append((i, " ".join(rng.choice(good if y else bad) if rng.random() < 0.4 else "".join(rng.sample("abcdefgh", 6)) for _ in range(rng.randint(40, 150)))))
+        labels.append((i, int(y)))
+    got = {r.doc_id: r for r in quality.quality(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    held = [(i, y) for i, y in labels if got[i].held_out]
+    assert _auc([y for _, y in held], [got[i].score for i, _ in held]) > 0.95
+    twice = spark.createDataFrame([rows[0], rows[0], (1, "x")], "doc_id long, text string")
+    assert quality.quality(spark, twice, spark.createDataFrame(labels, "doc_id long, quality int")).count() == 3
+
+
 def test_toxicity(spark, none):
     d, lab, truth = labelled(spark)
     got = {r.doc_id: r for r in toxicity.toxicity(spark, d, lab).collect()}
@@ -258,6 +275,40 @@ def test_lm(spark, docs, none):
     assert lm_score.score(spark, none).count() == 0
 
 
+def test_lm_score_against_exact_counts(spark, docs):
+    """The model's score by its definition, from counts quantised as the filter quantises them (with bits enough for no false hit)."""
+    rows = [(r[0], r[1]) for r in corpus()] + [(3, "alpha1 beta2 again"), (None, "x"), (None, None)]
+    got = lm_score.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), per_entry=64).collect()
+    assert len(got) == len(rows) - 2
+
+    def toks(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
+
+    c, pairs = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
+            w = toks(t)
+            c.update(w)
+            pairs.update(zip([None, *w], w))
+    quantised = lambda n: float(lm_score.counts_of(lm_score.levels_of(np.array([n])) * (n > 0))[0])
+    total = sum(c.values()) + len(c) + 1
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        w = toks(t)
+        p = [(min(quantised(pairs[a, b]), quantised(c[a])) + lm_score.MU * (quantised(c[b]) + 1) / total) / (quantised(c[a]) + lm_score.MU) for a, b in zip([None, *w], w)]
+        want[i].append(sum(map(math.log10, p)))
+    have = collections.defaultdict(list)
+    for r in got:
+        have[r.doc_id].append(r.score)
+    assert all(sorted(have[i]) == pytest.approx(sorted(want[i]), rel=1e-9) for i in have)
+
+
+def test_lm_nothing_to_learn_from(spark):
+    df = spark.createDataFrame([(5, "a b"), (5, None)], "doc_id long, text string")
+    got = lm_score.score(spark, df, held_out=F.lit(True)).collect()
+    assert [(r.n_known, r.train_tokens, r.base_score) for r in got] == [(0, 0, 0.0)] * 2 and sorted(r.n_tokens for r in got) == [1, 3]
+
+
 def test_lm_rare_words_by_bucket(spark, docs, monkeypatch):
     want = {r.doc_id: (r.n_known, r.base_score) for r in lm_score.score(spark, docs).collect()}
     monkeypatch.setattr(lm_score, "HEAVY", 4)
@@ -268,8 +319,10 @@ def test_lm_rare_words_by_bucket(spark, docs, monkeypatch):
 def test_filter_levels():
     keys = near_dedup.mix(np.arange(5000, dtype=np.uint64))
     levels = (np.arange(5000) % 7 + 1).astype(np.int32)
-    seg = {b: lm_score.segment(keys[keys % np.uint64(4) == b], levels[keys % np.uint64(4) == b]).tobytes() for b in range(4)}
-    f = lm_score.Filter(seg, 4)
+    seg = [lm_score.segment(keys[keys % np.uint64(5) == b], levels[keys % np.uint64(5) == b]) for b in range(4)] + [np.zeros(0, np.uint8)]
+    keys, levels = keys[keys % np.uint64(5) != 4], levels[keys % np.uint64(5) != 4]
+    size = np.array([len(x) for x in seg])
+    f = lm_score.Filter(np.concatenate(seg), np.cumsum(size) - size, size)
     assert (f.level(keys) >= levels).all() and (f.level(keys) == levels).mean() > 0.97
     assert (f.level(near_dedup.mix(keys + np.uint64(1))) > 0).mean() < 0.03
 
