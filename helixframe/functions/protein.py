@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import load
-from .sequence import _c, count_letters, lookup, molecular_weight
+from .sequence import _c, count_letters, counted, lookup, molecular_weight
 
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -76,10 +76,13 @@ def scale_values(name: str) -> dict[str, float]:
     return dict(zip(p["AMINO_ACIDS"], p["SCALES"][key]))
 
 
-def gravy(seq: str | Column, scale: str = "KyteDoolitle") -> Column:
-    """Mean of a hydropathy scale; fractional entries are summed with compensation, whole ones plainly, and the
-    compensation starts at the first fractional entry."""
+def gravy(seq: str | Column, scale: str = "KyteDoolitle", ordered: bool = False) -> Column:
+    """Mean of a hydropathy scale, summed by the counts of the residues. With ordered, residue by residue: fractional entries
+    with compensation, whole ones plainly, the compensation starting at the first fractional entry; the last digit may differ."""
     values = scale_values(scale)
+    if not ordered:
+        s = _upper(seq)
+        return F.when(F.length(s) > 0, counted(s, values, "unknown residue {}") / F.length(s).cast("double"))
     whole = F.array(*[F.lit(a) for a, v in values.items() if isinstance(v, int)]).cast("array<string>")
     m = lookup(values)
     s = _upper(seq)

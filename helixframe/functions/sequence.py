@@ -114,12 +114,25 @@ def compensated(values: Column) -> Column:
     return F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), step, lambda a: a["s"] + a["c"])
 
 
+def counted(s: Column, values: dict[str, float], message: str) -> Column:
+    """Sum of the values of all letters of s, by their counts in one fixed order; a letter without a value fails the query."""
+    total = F.lit(0.0)
+    for a, v in values.items():
+        total = total + count_letters(s, a).cast("double") * F.lit(float(v))
+    other = F.translate(s, "".join(values), "")
+    return F.when(F.length(other) == 0, total).when(other.isNotNull(), F.raise_error(F.concat(F.lit(message.split("{}")[0]), F.substring(other, 1, 1), F.lit(message.split("{}")[1]))).cast("double"))
+
+
 def lookup(values: dict[str, float]) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))])
 
 
-def molecular_weight(seq: str | Column, seq_type: str = "DNA", double_stranded: bool = False, circular: bool = False, monoisotopic: bool = False) -> Column:
-    """residue masses less the water of each bond; an unknown letter fails the query and is named."""
+def molecular_weight(seq: str | Column, seq_type: str = "DNA", double_stranded: bool = False, circular: bool = False, monoisotopic: bool = False, ordered: bool = False) -> Column:
+    """residue masses less the water of each bond; an unknown letter fails the query and is named.
+
+    Masses are summed by the counts of the letters; with ordered, one by one in the order of the sequence with compensation, which
+    may differ in the last digit and takes far longer.
+    """
     if seq_type not in ("DNA", "RNA", "protein"):
         raise ValueError("Allowed seq_types are DNA, RNA or protein, not %r" % seq_type)
     if seq_type == "protein" and double_stranded:
@@ -130,9 +143,11 @@ def molecular_weight(seq: str | Column, seq_type: str = "DNA", double_stranded:
     weights = lookup(table)
 
     def strand(x: Column) -> Column:
+        bonds = F.length(x) - (0 if circular else 1)
+        if not ordered:
+            return counted(x, table, f"'{{}}' is not a valid unambiguous letter for {seq_type}") - bonds.cast("double") * water
         letters = F.filter(F.split(x, ""), lambda a: a != "")
         mass = F.transform(letters, lambda a: F.coalesce(F.try_element_at(weights, a), F.raise_error(F.concat(F.lit("'"), a, F.lit(f"' is not a valid unambiguous letter for {seq_type}"))).cast("double")))
-        bonds = F.length(x) - (0 if circular else 1)
         return compensated(mass) - bonds.cast("double") * water
 
     total = strand(s)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,16 +48,22 @@ def codon_adaptation_index(spark: SparkSession, genes: DataFrame, seq: str = "se
 def codon_adaptation(genes: DataFrame, index: DataFrame, key: str = "id", seq: str = "sequence") -> DataFrame:
     """A4: rows (key, cai, n_codons): exp of the mean log w without ATG and TGG; genes without other codons give null.
 
-    The index has 64 rows and is broadcast; sums are taken per codon count, so a gene of any length is one small group.
+    The index has 64 rows and is gathered; a gene is one expression over its own codons, so nothing is shuffled and genes that
+    share a key stay apart. A codon without a weight fails the query unless it is a stop, which is then left out.
     """
-    n = codon_counts(genes, seq, [key]).where(~F.col("codon").isin("ATG", "TGG"))
-    known = n.join(F.broadcast(index.select("codon", "w")), "codon", "left")
-    known = known.where(F.col("w").isNotNull() | ~F.col("codon").isin("TGA", "TAA", "TAG"))
-    w = F.coalesce("w", F.raise_error(F.concat(F.lit("illegal codon in sequence: "), "codon")).cast("double"))
-    terms = F.array_sort(F.collect_list(F.struct("codon", (F.col("n") * F.ln(w)).alias("x"))))
-    out = known.groupBy(key).agg(terms.alias("t"), F.sum("n").alias("n_codons"))
-    total = F.aggregate("t", F.lit(0.0), lambda s, v: s + v["x"])
-    return genes.select(key).join(out.select(key, F.exp(total / F.col("n_codons")).alias("cai"), "n_codons"), key, "left")
+    w = {r.codon: r.w for r in index.select("codon", "w").collect()}
+    order = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT"]
+    logs = F.array(*[F.lit(math.log(w[c]) if w.get(c) else None).cast("double") for c in order])
+
+    def value(codon: Column) -> Column:
+        p = [F.instr(F.lit("ACGT"), F.substring(codon, k, 1)) for k in (1, 2, 3)]
+        x = F.when(F.least(*p) > 0, F.element_at(logs, (p[0] - 1) * 16 + (p[1] - 1) * 4 + p[2]))
+        return F.coalesce(x, F.raise_error(F.concat(F.lit("illegal codon in sequence: "), codon)).cast("double"))
+
+    left_out = ["ATG", "TGG"] + [c for c in ("TGA", "TAA", "TAG") if not w.get(c)]
+    used = genes.select(key, F.filter(sq.codons(seq), lambda c: ~c.isin(*left_out)).alias("c"))
+    mean = F.aggregate("c", F.lit(0.0), lambda s, c: s + value(c)) / F.size("c")
+    return used.select(key, F.when(F.size("c") > 0, F.exp(mean)).alias("cai"), F.when(F.size("c") > 0, F.size("c")).cast("long").alias("n_codons"))
 
 
 def adaptation_text(index: DataFrame) -> DataFrame:

@@ -76,8 +76,7 @@ _protein("f14_seq1", "seq AS one", one=lambda: sq.seq1(sq.seq3("seq")))
 _add("f15_nt_search", lambda s, d: dna(s, d).select("doc_id", F.explode(sq.nt_search("seq", "GANTC")).alias("pos")), f"WITH {D} SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos FROM d, unnest(range(1, length(seq) - 3)) AS t(i) WHERE substr(seq, i, 2) = 'GA' AND substr(seq, i + 3, 2) = 'TC'")
 _add("f18_crc32", lambda s, d: dna(s, d).select("doc_id", sq.crc32("seq").alias("crc")))
 _t64 = ", ".join(map(str, sq.crc64_table()))
-_dna("f19_crc64", f"'CRC-' || format('{{:016X}}', list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(regexp_extract_all(substr(seq, 1, 2000), '.'), lambda c: CAST(ascii(c) AS UBIGINT))), lambda acc, c: xor(acc >> 8, CAST(list_extract([{_t64}], CAST((xor(acc, c) & 255) AS BIGINT) + 1) AS UBIGINT) << 32))) AS crc", crc=lambda: sq.crc64("seq"))
-ORACLES["f19_crc64"] = ORACLES["f19_crc64"].replace("substr(seq, 1, 2000)", "seq")
+_dna("f19_crc64", f"'CRC-' || format('{{:016X}}', list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(regexp_extract_all(seq, '.'), lambda c: CAST(ascii(c) AS UBIGINT))), lambda acc, c: xor(acc >> 8, CAST(list_extract([{_t64}], CAST((xor(acc, c) & 255) AS BIGINT) + 1) AS UBIGINT) << 32))) AS crc", crc=lambda: sq.crc64("seq"))
 _dna("f20_gcg", "CAST(coalesce(list_sum(list_transform(range(1, length(seq) + 1), lambda i: ((i - 1) % 57 + 1) * ascii(substr(seq, i, 1)))), 0) % 10000 AS INTEGER) AS gcg", gcg=lambda: sq.gcg("seq"))
 _dna("f21_seguid", "rtrim(to_base64(unhex(sha1(upper(seq)))), '=') AS seguid", seguid=lambda: sq.seguid("seq"))
 _one = {c: codes.get(1).forward.get(c, "*") for c in codes.ORDER}
@@ -177,8 +176,8 @@ _add("a4_codon_adaptation", _cai, f"{_sql_cai} SELECT d.doc_id, round(cai, 9) AS
 _add("a5_adaptation_text", lambda s, d: rel.adaptation_text(rel.codon_adaptation_index(s, dna(s, d), "seq")), f"WITH {D}, {_cod}, {_idx} SELECT codon, codon || chr(9) || format('{{:.3f}}', w) AS line FROM w")
 _add("a11_cai_ranking", lambda s, d: rel.rank_top(_cai(s, d).where("cai IS NOT NULL"), "cai", "doc_id", 20), f"{_sql_cai} SELECT doc_id, round(cai, 9) AS cai, n_codons FROM g ORDER BY 2 DESC, doc_id DESC LIMIT 20")
 _add("a6_gc_counts", lambda s, d: reads(s, d).withColumn("c", sq.gc_counts("sequence")).select("name", "c.gc", "c.at"), f"WITH {R} SELECT name, CAST({_n('GC', 'sequence')} AS INTEGER) AS gc, CAST({_n('AT', 'sequence')} AS INTEGER) AS at FROM r")
-_q = "list_sum(list_transform(range(1, 151), lambda j: (ascii(substr(sequence, j, 1)) + j - 1) % 42)) / CAST(150 AS DOUBLE)"
-_g = f"(CAST({_n('GC', 'sequence')} AS DOUBLE) / {_n('ACGT', 'sequence')})"
+_q = "list_sum(list_transform(range(1, length(sequence) + 1), lambda j: (ascii(substr(sequence, j, 1)) + j - 1) % 42)) / CAST(length(sequence) AS DOUBLE)"
+_g = f"({_share(_n('GC', 'sequence'), _n('ACGT', 'sequence'))})"
 _add(
     "a9_fastq_qc",
     lambda s, d: rel.fastq_qc(reads(s, d), most_n=2, gc=(0.45, 0.55), least_q=20.0),
@@ -195,10 +194,9 @@ _add(
 _codes = "(VALUES " + ", ".join(f"({t[0]}, '{t[3]}')" for t in dims.load("codes")) + ") AS c(table_id, aas)"
 _add(
     "g1_genetic_codes",
-    lambda s, d: codes.code_table(s).where("NOT is_stop").select("table_id", "codon", "aa"),
-    f"SELECT table_id, substr('TCAG', CAST((i // 16) + 1 AS BIGINT), 1) || substr('TCAG', CAST((i // 4) % 4 + 1 AS BIGINT), 1) || substr('TCAG', CAST(i % 4 + 1 AS BIGINT), 1) AS codon, substr(aas, CAST(i + 1 AS BIGINT), 1) AS aa FROM {_codes}, unnest(range(0, 64)) AS t(i) WHERE substr(aas, CAST(i + 1 AS BIGINT), 1) <> '*' AND table_id NOT IN (27, 28, 31)",
+    lambda s, d: codes.code_table(s).where("aa IS NOT NULL").select("table_id", "codon", "aa"),
+    f"SELECT table_id, substr('TCAG', CAST((i // 16) + 1 AS BIGINT), 1) || substr('TCAG', CAST((i // 4) % 4 + 1 AS BIGINT), 1) || substr('TCAG', CAST(i % 4 + 1 AS BIGINT), 1) AS codon, substr(aas, CAST(i + 1 AS BIGINT), 1) AS aa FROM {_codes}, unnest(range(0, 64)) AS t(i) WHERE substr(aas, CAST(i + 1 AS BIGINT), 1) <> '*'",
 )
-QUERIES["g1_genetic_codes"] = lambda s, d: codes.code_table(s).where("NOT is_stop AND table_id NOT IN (27, 28, 31)").select("table_id", "codon", "aa")
 _add("g4_back_table", lambda s, d: codes.code_table(s).where("aa IS NOT NULL").groupBy("table_id", "aa").agg(F.max("codon").alias("codon")))
 _add("g7_ambiguous_codons", lambda s, d: codes.proteins_table(s))
 _add("s34_matrices", lambda s, d: dims.matrix_table(s))
@@ -234,10 +232,10 @@ _add("a12_primer_ranking", lambda s, d: _primer_rank(s, d).orderBy(F.desc("score
 
 
 def _halves(s: SparkSession, d: str) -> DataFrame:
-    """L4: the first half of every read against its second; the halves hold all its letters."""
+    """L4: the first half of every read against its second; the halves hold all its letters, and a read of one has none."""
     half = F.expr("length(sequence) div 2").cast("int")
     first, second = F.col("sequence").substr(F.lit(1), half), F.col("sequence").substr(half + 1, F.length("sequence"))
-    return reads(s, d).select("name", Aligner("global", 1, 0, -2, -1).align_column(first, second).alias("a")).select("name", "a.score", "a.identities", "a.mismatches", "a.gaps")
+    return reads(s, d).where("length(sequence) > 1").select("name", Aligner("global", 1, 0, -2, -1).align_column(first, second).alias("a")).select("name", "a.score", "a.identities", "a.mismatches", "a.gaps")
 
 
 _add("l4_alignments", _halves)
@@ -264,7 +262,7 @@ _dna("k1_format_fasta", f"'>' || doc_id || chr(10) || {_wrap} AS record", record
 _add("k2_format_fastq", lambda s, d: reads(s, d).select("name", sinks.format_fastq("name", "sequence", "quality").alias("record")), f"WITH {R} SELECT name, '@' || name || chr(10) || sequence || chr(10) || '+' || chr(10) || quality AS record FROM r")
 _add("k3_format_qual", lambda s, d: reads(s, d).select("name", sinks.format_qual("name", "quality", 0).alias("record")), f"WITH {R} SELECT name, '>' || name || chr(10) || array_to_string(list_transform(regexp_extract_all(quality, '.'), lambda c: CAST(ascii(c) - 33 AS VARCHAR)), ' ') AS record FROM r")
 _add("k5_phred_to_sanger", lambda s, d: reads(s, d).select("name", sinks.phred_to_sanger(sinks.phred("quality")).alias("quality")), f"WITH {R} SELECT name, quality FROM r")
-_add("s5_grid_pileup", lambda s, d: readers.grid(reads(s, d)).select(F.posexplode("bases").alias("col", "base")).groupBy("col", "base").agg(F.count("*").alias("n")), f"WITH {R} SELECT CAST(j - 1 AS INTEGER) AS col, substr(sequence, j, 1) AS base, count(*) AS n FROM r, unnest(range(1, 151)) AS t(j) GROUP BY ALL")
+_add("s5_grid_pileup", lambda s, d: readers.grid(reads(s, d).where("length(sequence) = 150")).select(F.posexplode("bases").alias("col", "base")).groupBy("col", "base").agg(F.count("*").alias("n")), f"WITH {R} SELECT CAST(j - 1 AS INTEGER) AS col, substr(sequence, j, 1) AS base, count(*) AS n FROM r, unnest(range(1, 151)) AS t(j) WHERE length(sequence) = 150 GROUP BY ALL")
 _add("s7_slices", lambda s, d: reads(s, d).select("name", readers.slice_of("sequence", 10, 25).alias("part")), f"WITH {R} SELECT name, substr(sequence, 11, 15) AS part FROM r")
 
 
@@ -273,7 +271,7 @@ def _flat(fmt: str):
 
     def query(s: SparkSession, d: str) -> DataFrame:
         path = scratch(s, fmt)
-        rows = dna(s, d).where("length(seq) BETWEEN 60 AND 900")
+        rows = dna(s, d).where("length(seq) > 0")
         ident = F.format_string("DOC%08d", "doc_id")
         n = F.length("seq")
         if fmt == "genbank":
@@ -290,7 +288,7 @@ def _flat(fmt: str):
     return query
 
 
-_sql_flat = f"WITH {D} SELECT 'DOC' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.1' AS id, 'DOC' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS name, 'derived sequence' AS description, seq AS sequence, 'gene' AS type, length(seq) AS feature_end, -1 AS strand FROM d WHERE length(seq) BETWEEN 60 AND 900"
+_sql_flat = f"WITH {D} SELECT 'DOC' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.1' AS id, 'DOC' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS name, 'derived sequence' AS description, seq AS sequence, 'gene' AS type, length(seq) AS feature_end, -1 AS strand FROM d WHERE length(seq) > 0"
 _add("s16_genbank", _flat("genbank"), _sql_flat)
 _add("s16_embl", _flat("embl"), _sql_flat)
 
@@ -307,4 +305,4 @@ def _stream_kmers(s: SparkSession, d: str) -> DataFrame:
     return s.table(name)
 
 
-_add("stream_kmer_counts", _stream_kmers, f"WITH {R}, k AS (SELECT substr(sequence, i, 4) AS kmer FROM r, unnest(range(1, 148)) AS t(i)) SELECT kmer, count(*) AS n FROM k WHERE NOT contains(kmer, 'N') GROUP BY kmer")
+_add("stream_kmer_counts", _stream_kmers, f"WITH {R}, k AS (SELECT substr(sequence, i, 4) AS kmer FROM r, unnest(range(1, length(sequence) - 2)) AS t(i)) SELECT kmer, count(*) AS n FROM k WHERE NOT contains(kmer, 'N') GROUP BY kmer")

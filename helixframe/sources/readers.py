@@ -1,17 +1,23 @@
 """Spark data sources for sequence files: format("fastq"), "fasta", "genbank", "embl", "swiss".
 
 Plain FASTQ of four-line records is cut into splits (a split starts at a verified record); FASTA and flat files are read
-a file per task, and gzip is recognised by its bytes, never by its name. Options: `columns` names the costly nested columns to parse
+a file per task, and gzip is recognised by its bytes, never by its name. A path with a scheme (hdfs, s3, gs) is read through the
+file system that it names, on the driver and in tasks alike. Options: `columns` names the costly nested columns to parse
 (flat files), `name` keeps one record, `split_bytes` sets the size of a split, `mode` is failfast or permissive
 (a malformed file then ends at its first bad record).
 """
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import os
+import re
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
@@ -34,17 +40,76 @@ class Split(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+def system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; without a scheme, the local one."""
+    if re.match("[A-Za-z][A-Za-z0-9+.-]+:/", path):
+        scheme, _, rest = path.partition(":")
+        if scheme == "file":
+            return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
 def files(path: str) -> list[str]:
-    """The files of a path: one file, a folder's visible files, or a pattern."""
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(f for f in glob.glob(f"{path}/*") if os.path.isfile(f) and os.path.basename(f)[0] not in "._")
-    found = sorted(glob.glob(path))
+    """The files of a path: one file, a folder's visible files, or a pattern (in a remote folder, of its last part)."""
+    where, inside = system(path)
+    if isinstance(where, fs.LocalFileSystem):
+        if os.path.isdir(inside):
+            return sorted(f for f in glob.glob(f"{inside}/*") if os.path.isfile(f) and os.path.basename(f)[0] not in "._")
+        found = sorted(glob.glob(inside))
+    else:
+        prefix = path[: len(path) - len(inside)] if path.endswith(inside) else path.split(":")[0] + "://"
+        folder, _, last = inside.rstrip("/").rpartition("/")
+        if where.get_file_info(inside).type == fs.FileType.Directory:
+            folder, last = inside, "[!._]*"
+        inner = where.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        found = sorted(prefix + f.path for f in inner if f.is_file and fnmatch.fnmatchcase(f.base_name, last))
     if not found:
         raise FileNotFoundError(path)
     return found
 
 
+#: Records of an Arrow batch.
+BATCH = 10_000
+
+
+class _FastqBatches:
+    """Record batches of the FASTQ table, numbered from base."""
+
+    NAMES = ["file", "record_index", "name", "description", "title", "sequence", "quality"]
+
+    def __init__(self, path: str, base: int, name: str | None):
+        self.path, self.at, self.name = path, base, name
+
+    def put(self, titles: list[str], seqs: list[str], quals: list[str]) -> Iterator[pa.RecordBatch]:
+        keys = list(map(records.key_of, titles))
+        index = range(self.at, self.at + len(titles))
+        self.at += len(titles)
+        columns = [[self.path] * len(titles), list(index), [k for k, _ in keys], [d for _, d in keys], titles, seqs, quals]
+        if self.name is not None:
+            pick = [i for i, k in enumerate(columns[2]) if k == self.name]
+            columns = [[c[i] for i in pick] for c in columns]
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "record_index" else pa.string()) for n, c in zip(self.NAMES, columns)], self.NAMES)
+
+
+def _whole_records(f, start: int, end: int, size: int) -> tuple[bytes, int]:
+    """The records of a split and their place: from the first one that starts in it to the first that starts after it.
+
+    Both ends are looked for from the byte before them, so the split behind finds the same place; more is read until it can be told.
+    """
+    first = max(0, start - 1)
+    f.seek(first)
+    data, margin = f.read(end - first + (1 << 16)), 1 << 20
+    while True:
+        whole = first + len(data) >= size
+        begin = records.fastq_start(data, start - first, whole)
+        stop = len(data) if whole and end >= size else records.fastq_start(data, end - first, whole)
+        if begin is not None and stop is not None:
+            return data[begin:stop], first + begin
+        data += f.read(margin)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, fmt: str):
         self.options, self.fmt = dict(options), fmt
@@ -62,9 +127,9 @@ class _Reader(DataSourceReader):
         out = []
         size = int(self.options.get("split_bytes", 64 << 20))
         for path in files(self.options["path"]):
-            n = os.path.getsize(path)
-            with open(path, "rb") as f:
-                head = f.read(1 << 16)
+            where, inside = system(path)
+            with where.open_input_file(inside) as f:
+                n, head = f.size(), f.read(1 << 16)
             plain = self.fmt == "fastq" and head[:2] != b"\x1f\x8b" and b"\r" not in head and head[:1] == b"@" and self.options.get("wrapped", "false") != "true"
             if plain and n > size:
                 out += [Split(path, a, min(a + size, n)) for a in range(0, n, size)]
@@ -72,40 +137,44 @@ class _Reader(DataSourceReader):
                 out.append(Split(path, 0, n))
         return out or [Split("", 0, 0)]
 
-    def read(self, part: Split) -> Iterator[tuple]:
+    def read(self, part: Split) -> Iterator[tuple | pa.RecordBatch]:
         if not part.path:
             return
-        with open(part.path, "rb") as f:
-            size = os.path.getsize(part.path)
+        where, inside = system(part.path)
+        with where.open_input_file(inside) as f:
+            size = f.size()
             if part.start == 0 and part.end == size:
                 data, base = f.read(), 0
-            else:  # whole records from the first one that starts here to the one that starts at the end
-                f.seek(part.start)
-                margin = 1 << 20
-                data = f.read(part.end - part.start + margin)
-                while True:
-                    stop = records.fastq_start(data, part.end - part.start) if part.end < size else len(data)
-                    if stop < len(data) or part.start + len(data) >= size:
-                        break
-                    data += f.read(margin)
-                begin = records.fastq_start(data, 1) if part.start and data[:1] != b"@" else records.fastq_start(data, 0) if part.start else 0
-                if part.start:
-                    f.seek(part.start - 1)
-                    begin = begin if f.read(1) != b"\n" or begin == 0 else records.fastq_start(data, 0)
-                data, base = data[begin:stop], part.start + begin
+            else:
+                data, base = _whole_records(f, part.start, part.end, size)
         try:
             yield from self.rows(part.path, data, base)
         except records.FormatError:
             if self.strict:
                 raise
 
-    def rows(self, path: str, data: bytes, base: int) -> Iterator[tuple]:
+    def rows(self, path: str, data: bytes, base: int) -> Iterator[tuple | pa.RecordBatch]:
         if self.fmt == "fastq":
             # in a split the byte offset numbers the records: unique and in file order
-            for i, (title, seq, qual) in enumerate(records.parse_fastq(records.inflate(data), 0, base)):
-                name, rest = records.key_of(title)
-                if self.name is None or name == self.name:
-                    yield path, base + i, name, rest, title, seq, qual
+            data = records.inflate(data)
+            plain = records.plain_fastq(data)
+            batch = _FastqBatches(path, base, self.name)
+            if plain is not None:
+                for i in range(0, len(plain[0]), BATCH):
+                    yield from batch.put(*(x[i : i + BATCH] for x in plain))
+                return
+            held: list[tuple] = []
+            try:
+                for r in records.parse_fastq(data, 0, base):
+                    held.append(r)
+                    if len(held) == BATCH:
+                        yield from batch.put(*map(list, zip(*held)))
+                        held = []
+            except records.FormatError:
+                if self.strict:
+                    raise
+            if held:
+                yield from batch.put(*map(list, zip(*held)))
         elif self.fmt == "fasta":
             if data[:2] == b"\x1f\x8b" and self.options.get("gzip", "refuse") != "allow":
                 raise records.FormatError(f"{path}: gzip input is refused for FASTA; pass gzip=allow")

@@ -92,19 +92,22 @@ def parse_fastq(data: bytes, first: int = 0, base: int = 0) -> Iterator[tuple[st
         record += 1
 
 
-def fastq_start(data: bytes, at: int) -> int:
-    """The first byte at or after `at` where a plain record of four lines starts, or the end.
+def fastq_start(data: bytes, at: int, whole: bool = True) -> int | None:
+    """The first line at or after `at` where a plain record of four lines starts, or the end; a line starts after a newline only.
 
-    @ is a legal quality, so a start needs @, any, +, and equal lengths on the lines that follow.
+    @ is a legal quality and may stand inside a title, so a start needs @, any, +, and equal lengths on the lines that follow.
+    With whole false, more bytes follow data: None says that they are needed to tell.
     """
     if at:
         at = data.find(b"\n", at - 1) + 1
         if at == 0:
-            return len(data)
+            return len(data) if whole else None
     while at < len(data):
         ends, p = [], at
         for _ in range(4):
             e = data.find(b"\n", p)
+            if e < 0 and not whole:
+                return None
             e = len(data) if e < 0 else e
             ends.append((p, e))
             p = min(e + 1, len(data))
@@ -112,7 +115,34 @@ def fastq_start(data: bytes, at: int) -> int:
         if data[at : at + 1] == b"@" and plus[:1] == b"+" and len(seq) == len(qual):
             return at
         at = ends[0][1] + 1
-    return len(data)
+    return len(data) if whole else None
+
+
+def plain_fastq(data: bytes) -> tuple[list[str], list[str], list[str]] | None:
+    """(titles, sequences, qualities) if data is nothing but records of four plain lines, found by newline offsets; else None."""
+    import numpy as np
+
+    buf = np.frombuffer(data, np.uint8)
+    if len(buf) == 0 or b"\r" in data or b"\t" in data or b"\v" in data or b"\f" in data:
+        return None
+    end = np.flatnonzero(buf == 10)
+    if buf[-1] != 10:
+        end = np.append(end, len(buf))
+    if len(end) % 4:
+        return None
+    start = np.concatenate([[0], end[:-1] + 1]).reshape(-1, 4)
+    end = end.reshape(-1, 4)
+    size = end - start
+    if (size[:, [0, 2]] < 1).any() or (size[:, 1] != size[:, 3]).any() or (size[:, 2] != 1).any() or (size[:, 1] < 1).any():
+        return None
+    if (buf[start[:, 0]] != 64).any() or (buf[start[:, 2]] != 43).any() or (buf[start[:, 1]] == 43).any():
+        return None
+    spaces = np.concatenate([[0], np.cumsum(buf <= 32)])
+    if (spaces[end[:, [1, 3]]] != spaces[start[:, [1, 3]]]).any() or (buf[end[:, 0] - 1] <= 32).any():
+        return None
+    text = data.decode("latin-1")
+    a, b = start.tolist(), end.tolist()
+    return [text[x[0] + 1 : y[0]] for x, y in zip(a, b)], [text[x[1] : y[1]] for x, y in zip(a, b)], [text[x[3] : y[3]] for x, y in zip(a, b)]
 
 
 def parse_fasta(data: bytes) -> Iterator[tuple[str, str]]:

@@ -51,7 +51,7 @@ def test_columns_with_nulls(spark):
 
 def test_every_read_is_scored(spark, folder):
     every = {r["name"]: r.sequence for r in reads(spark, folder).collect()}
-    assert len(every) == 0 + 1 + 2 + 3 + 4 + 3
+    assert len(every) == 18 and {len(s) for s in every.values()} > {150}  # last reads are shorter
     got = {(r["name"], r.primer): r.score for r in catalog.QUERIES["l3_alignment_scores"](spark, folder).collect()}
     al = Aligner(*LOCAL)
     want = {(n, k): al.score(s, p) for n, s in every.items() for k, p in enumerate(catalog._PRIMERS)}
@@ -64,7 +64,10 @@ def test_every_read_is_scored(spark, folder):
 def test_all_letters_of_every_read_are_aligned(spark, folder):
     al, want = Aligner(*GLOBAL), {}
     for r in reads(spark, folder).collect():
-        x = al.align(r.sequence[:75], r.sequence[75:])
+        half = len(r.sequence) // 2
+        if not half:
+            continue
+        x = al.align(r.sequence[:half], r.sequence[half:])
         want[r["name"]] = (x["score"], x["identities"], x["mismatches"], x["gaps"])
     got = {r["name"]: tuple(r)[1:] for r in catalog.QUERIES["l4_alignments"](spark, folder).collect()}
     assert got == want

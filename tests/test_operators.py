@@ -82,3 +82,10 @@ def test_kmers(spark):
     assert {r.kmer: r.n for r in rel.count_kmers(df, 2).collect()} == {"AA": 3, "AC": 1}
     with pytest.raises(ValueError):
         rel.count_kmers(df, 17)
+
+
+def test_codon_adaptation_of_repeated_keys(spark):
+    genes = spark.createDataFrame([("g", "GCTGCTGCC"), ("g", "GCC"), ("h", "ATGTGG"), ("h", None)], "id string, sequence string")
+    index = rel.codon_adaptation_index(spark, genes.where("sequence IS NOT NULL"))
+    got = sorted((r.id, r.n_codons, r.cai and round(r.cai, 9)) for r in rel.codon_adaptation(genes, index).where("n_codons IS NOT NULL").collect())
+    assert got == [("g", 1, 1.0), ("g", 3, 1.0)] and rel.codon_adaptation(genes, index).count() == 4

@@ -129,3 +129,34 @@ def test_stream(spark, tmp_path):
     run = streaming.stream_fastq(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("arrived").select("name", "sequence").collect()[0][:] == ("r", "ACGT")
+
+
+def test_fastq_every_split_size(spark, tmp_path):
+    """Titles and qualities with @ at any place: each split size gives the same records, once each."""
+    rows = [(f"read{i} user@host @x{i}", "ACGT" * (i % 3 + 1), ("@I+@" if i % 2 else "II@+") * (i % 3 + 1)) for i in range(40)]
+    path = tmp_path / "at.fastq"
+    data = "".join(f"@{t}\n{s}\n+\n{q}\n" for t, s, q in rows).encode()
+    path.write_bytes(data)
+    reader = readers._Reader({"path": str(path)}, "fastq")
+    for size in range(1, len(data) + 2):
+        reader.options["split_bytes"] = size
+        got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert [(r["title"], r["sequence"], r["quality"]) for r in got] == rows, size
+        assert len({r["record_index"] for r in got}) == len(rows)
+    assert readers.read(spark, "fastq", f"file://{path}", split_bytes=100).where("name = 'read7'").count() == 1
+
+
+def test_plain_fastq_agrees_with_the_parser():
+    for data in (b"@a b\nAC\n+\nII\n@c\nA\n+\nI", b"@a\nAC\n+a\nII\n", b"@a\nA C\n+\nIII\n", b"@a \nAC\n+\nII\n", b"@a\nAC\nGT\n+\nIIII\n", b"@a\n\n+\n\n", b"@a\nAC\n+\nII\n\n", b""):
+        got = records.plain_fastq(data)
+        if got is not None:
+            assert list(zip(*got)) == list(records.parse_fastq(data))
+    assert records.plain_fastq(b"@a b\nAC\n+\nII\n") and not records.plain_fastq(b"@a\nA C\n+\nIII\n")
+
+
+def test_permissive_keeps_what_came_before(spark, tmp_path):
+    path = tmp_path / "bad.fastq"
+    path.write_text("@a\nAC\n+\nII\n@b\nAC\n+\nI\n")
+    assert [r.name for r in readers.read(spark, "fastq", str(path), mode="permissive").collect()] == ["a"]
+    with pytest.raises(Exception, match="Lengths of sequence"):
+        readers.read(spark, "fastq", str(path)).collect()
