@@ -19,6 +19,8 @@ from .topk import vectors
 
 #: Rows of the sample that lists and codebooks are fitted on.
 FIT_ROWS = 20_000
+#: Rows of the sample for a list, at least: with FIT_ROWS it bounds the number of lists, and so how fine a search can be.
+ROWS_PER_LIST = 8
 SUBSPACES, CODES = 8, 64
 LIST_BLOCK, QUERY_BLOCK = 4096, 8192
 
@@ -80,7 +82,7 @@ def near_vectors(spark: SparkSession, table: DataFrame, bar: float = 0.93, probe
     sample = np.concatenate(max(dims.values(), key=lambda x: sum(map(len, x)))) if dims else np.zeros((0, 1))
     norm = np.linalg.norm(sample, axis=1)
     sample = sample[norm > 0] / norm[norm > 0, None]
-    held = spark.sparkContext.broadcast(fit(sample, lists or int(min(1024, max(8, round(n**0.5 / 4))))) if len(sample) else None)
+    held = spark.sparkContext.broadcast(fit(sample, lists or int(min(FIT_ROWS // ROWS_PER_LIST, max(8, round(n**0.5 / 4))))) if len(sample) else None)
 
     def index(batches):
         import pyarrow as pa
