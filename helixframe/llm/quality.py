@@ -21,7 +21,7 @@ HIDDEN, GATE = 16, 8
 #: Rows of the table of word vectors; words share them by hash.
 WORDS = 1 << 13
 #: Documents of a step, steps and the pull of the word vectors to 0 when fitting.
-BATCH, STEPS, SHRINK = 512, 500, 2e-4
+BATCH, STEPS, SHRINK = 256, 300, 2e-4
 
 _KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!", b"%#$&*", b"|", b".", b",", b"\n", b"<>{}[]\\/=_", b"@:;?-()'\"+", bytes(range(128, 256))]
 _KIND = np.full(256, len(_KINDS), np.uint8)
