@@ -10,6 +10,8 @@ gives the score; as training texts seldom misspell, each of them also counts wit
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,8 +181,8 @@ def hits(auto: Automaton, column) -> np.ndarray:
 def lexicon(spark: SparkSession, sample: DataFrame) -> tuple[list[tuple[str, bool, int]], set[str]]:
     """Telling words and stems of the sample (doc_id, text, y), and clean words that they would take for misspellings.
 
-    A document stands for a word with the least of the word's contexts (the words before and after); documents that agree in
-    it count once, so a text that was copied often and is labelled toxic does not make its vocabulary telling.
+    A document stands for a word with one of the word's contexts (the words before and after, the least by hash); documents that
+    agree in it count once, so a text that was copied often and is labelled toxic does not make its vocabulary telling.
     """
 
     def contexts(batches):
@@ -199,14 +201,14 @@ def lexicon(spark: SparkSession, sample: DataFrame) -> tuple[list[tuple[str, boo
                     own = names[first[d] : first[d + 1]]
                     for before, w, after in zip(["", *own], own, [*own[1:], ""]):
                         if 3 <= len(w) <= 40:
-                            c = f"{before} {after}"
+                            c = zlib.crc32(f"{before} {after}".encode())
                             key = (w, int(y[i + d]), d)
                             if key not in out or c < out[key]:
                                 out[key] = c
                 if out:
-                    yield pa.RecordBatch.from_pydict({"word": [k[0] for k in out], "y": np.array([k[1] for k in out], np.int32), "c": list(out.values())})
+                    yield pa.RecordBatch.from_pydict({"word": [k[0] for k in out], "y": np.array([k[1] for k in out], np.int32), "c": np.array(list(out.values()), np.int64)})
 
-    pair = sample.select("y", "text").mapInArrow(contexts, "word string, y int, c string").groupBy("word", F.xxhash64("c").alias("c")).agg(F.max("y").alias("y1"), F.min("y").alias("y0"))
+    pair = sample.select("y", "text").mapInArrow(contexts, "word string, y int, c long").groupBy("word", "c").agg(F.max("y").alias("y1"), F.min("y").alias("y0"))
     per = cut(spark, pair.groupBy("word").agg(F.sum("y1").cast("long").alias("n1"), F.sum(1 - F.col("y0")).cast("long").alias("n0")), "words")
     telling = F.col("n1") >= SHARE * (F.col("n1") + F.col("n0"))
     strong = per.where((F.col("n1") >= LEAST) & telling).orderBy(F.desc("n1"), "word").limit(4 * TERMS).collect()
