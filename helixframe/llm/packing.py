@@ -1,6 +1,6 @@
 """Packing: concatenate and cut.
 
-Pass 1 tokenizes each text once, keeps the ids (two bytes each) in a table of the shared folder together with the
+Pass 1 tokenizes each text once, keeps the ids (two bytes each, four where a document holds one above 65,535) in a table of the shared folder together with the
 document's place inside its partition, and so the token total of every partition. The prefix sums of those
 totals (one number per partition) give each document a global offset. Pass 2 cuts the stream at multiples of the window:
 a document gets one record per window it touches, the first and last being boundary records. Nothing is shuffled.
@@ -74,7 +74,8 @@ def pack(spark: SparkSession, docs: DataFrame, window: int = 1024, end_id: int =
                 ids = encode(text) if text else []
                 ids.append(end_id)
                 counts.append(len(ids))
-                blobs.append(np.array(ids, np.uint16).tobytes())
+                ids = np.array(ids, np.uint32)
+                blobs.append((ids.astype(np.uint16) if ids.max() < 1 << 16 else ids).tobytes())
             n = np.array(counts, np.int64)
             begin = at + np.cumsum(n) - n
             at += int(n.sum())
@@ -110,7 +111,8 @@ def pack(spark: SparkSession, docs: DataFrame, window: int = 1024, end_id: int =
             last = -1
             for i, (r, s, m) in enumerate(zip(row.tolist(), start.tolist(), length.tolist())):
                 if r != last:
-                    doc = np.frombuffer(raw[r].as_buffer(), "<u2").astype("<u4")
+                    blob = raw[r].as_buffer()
+                    doc = np.frombuffer(blob, "<u2" if blob.size == 2 * n[r] else "<u4").astype("<u4")
                     last = r
                 crc[i] = zlib.crc32(doc[s : s + m].tobytes())
                 if with_ids:

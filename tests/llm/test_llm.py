@@ -357,6 +357,23 @@ def test_vector_dedup(spark):
     assert got[304].component_id <= 0 and vector_dedup.near_vectors(spark, spark.createDataFrame([], VECS)).count() == 0
 
 
+def test_vector_dedup_recall_of_few_probes(spark):
+    """12 of 100 lists are probed: at least 0.9 of the links of brute force, and none that is not one."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(300, 32))
+    x = np.repeat(centre, 8, axis=0) + rng.normal(size=(2400, 32)) * rng.uniform(0.1, 0.35, (2400, 1))
+    rows = [(i, v.tolist(), int(i % 8 > 5), 1, "x") for i, v in enumerate(x.astype(np.float32))]
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(spark, spark.createDataFrame(rows, VECS), lists=100).collect()}
+    y = np.array([r[1] for r in rows])
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    link = (y @ y.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    n = link.sum(1)
+    assert n.sum() > 2000 and all(got[i].n_links <= n[i] for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * n.sum()
+
+
 def test_topk(spark):
     rows = vecs()
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(spark, spark.createDataFrame(rows, VECS)).collect()}
@@ -527,3 +544,44 @@ def test_pipeline(spark, tmp_path):
             assert out.columns == plain.columns
         current = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_packing_ids_of_four_bytes(spark, tmp_path):
+    """A vocabulary above 65,535 ids, and columns that clash with those of the pieces."""
+    import json
+
+    vocab = {chr(i): i + 70_000 for i in range(97, 123)} | {"\u0120": 5}
+    (tmp_path / "t.json").write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": True}, "post_processor": None, "decoder": None, "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "vocab": vocab, "merges": []}}))
+    import base64
+
+    (tmp_path / "t.tiktoken").write_text("\n".join(f"{base64.b64encode(bytes([i])).decode()} {i + 70_000 if 97 <= i < 123 else 5 if i == 32 else 90_000 + i}" for i in range(256)))
+    df = spark.createDataFrame([(1, "ab c", 7, 8), (2, " ", 7, 8), (3, None, 7, 8)], "doc_id long, text string, start long, ids long")
+    got = {r.doc_id: r for r in packing.pack(spark, df, with_ids=True, json_path=str(tmp_path / "t.json"), ranks_path=str(tmp_path / "t.tiktoken")).collect()}
+    assert [got[i].ids for i in (1, 2, 3)] == [[70_097, 70_098, 5, 70_099, 0], [5, 0], [0]]
+    assert got[1].ids_crc32 == zlib.crc32(np.array(got[1].ids, "<u4").tobytes())
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    d, lab, _ = labelled(spark)
+    plain = d.select("doc_id", "text", "lang", "source", "n_chars")
+    odd = [(None, None, None, None, None), (None, "", "en", "s", 0), (900, None, "en", None, None), (901, "", None, "s", 0), (902, " \n", "en", "s", 2), (903, "mail a@b.co " + "long word " * 20_000, "en", "s", 9), (904, "rare words here", "en", "s", 15), (904, "rare words here", "en", "s", 15), (None, "rare words here", "en", "s", 15)]
+    docs = plain.unionByName(spark.createDataFrame(odd, plain.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    lab.write.parquet(str(tmp_path / "labels.parquet"))
+    current = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, current, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        current = spark.read.parquet(str(tmp_path / name))
+        left = [(r.doc_id, r.text) for r in current.where("doc_id IS NULL OR doc_id >= 900").collect()]
+        ids = sorted(str(i) for i, _ in left)
+        if name == "toxicity":
+            assert ids == sorted(["900", "901", "902", "903", "904", "904", "None", "None", "None"])
+        else:  # one of the three rows with the same words
+            assert ids == sorted(["900", "901", "902", "903", "904", "None", "None"])
+    assert dict(left)[900] is None and dict(left)[903].startswith("mail <EMAIL> long")
+    for folder, rows in (("few", plain.limit(1)), ("empty", plain.limit(0))):
+        (tmp_path / folder).mkdir()
+        rows.write.parquet(str(tmp_path / folder / "documents.parquet"))
+        lab.limit(0).write.parquet(str(tmp_path / folder / "labels.parquet"))
+        assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / folder)).collect()} <= {r.doc_id for r in rows.collect()}
