@@ -22,23 +22,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind."""
+    """Personal data are replaced by their kind; n_chars follows. Every row stays, null and repeated ids too; a null text stays null."""
     return pii.personal_data(spark, docs, redact=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the target mixture, each once: after de-duplication no epoch is repeated."""
+    """Documents of the target mixture, each once: after de-duplication no epoch is repeated. A null lang or source counts as '';
+    null and empty texts have no tokens and go or stay with their place in their leaf's order; null ids are rows of their own."""
     return mixing.mixed(spark, docs, ratio=0.8, epochs=1)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full sequences, with their token ids."""
+    """Pieces of full sequences, with their token ids; a null or empty text is the end id alone; null ids are packed as rows of their own."""
     return packing.pack(spark, docs, with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("pii", redact), ("mixing", mix_sources), ("packing", pack)]
 
-#: The classifier, the set-similarity join and the tokenizer have no SQL form; tests hold the stages against brute force.
+#: The classifier, the set-similarity join and the tokenizer have no SQL form; the stages are tested by
+#: the operators' brute-force tests and by what each must drop and keep (tests/llm).
 ORACLE_SQL = None
 
 
