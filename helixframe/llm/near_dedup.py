@@ -344,7 +344,7 @@ def _confirm(spark: SparkSession, source: DataFrame, cluster: DataFrame, num: in
         many = cut(spark, many, "many")
         # the pivots of a cluster: 16 classes of the least hash, found by a bounded aggregate
         pivot = many.groupBy("cluster", F.pmod(F.xxhash64("cid", F.lit(5)), F.lit(16)).alias("p")).agg(F.min_by(F.struct(*name), F.xxhash64("cid", F.lit(9))).alias("d"))
-        pivot = pivot.join(size.select("cluster", "blocks"), "cluster").select("d.*", "cluster", F.explode(F.expr("sequence(0, blocks - 1)")).cast("int").alias("block"))
+        pivot = pivot.join(size.select("cluster", "blocks"), "cluster").select("d.*", "cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
         placed = many.select(*name, "cluster", "block").unionByName(pivot).distinct()
         one = one.unionByName(placed.select(*name, F.xxhash64("cluster", "block").alias("task")))
     found = cut(spark, _linked(source, one, cluster.count(), num, den), "linked")
@@ -359,7 +359,7 @@ def _confirm(spark: SparkSession, source: DataFrame, cluster: DataFrame, num: in
     rest = state.where("c <> main")
     # a block with classes outside the main component meets every block of its cluster, a pair of blocks a task
     odd = rest.select("cluster", "block").distinct()
-    pairs = odd.join(size.select("cluster", "blocks"), "cluster").select("cluster", F.col("block").alias("x"), F.explode(F.expr("sequence(0, blocks - 1)")).cast("int").alias("y"))
+    pairs = odd.join(size.select("cluster", "blocks"), "cluster").select("cluster", F.col("block").alias("x"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("y"))
     left = rest.join(pairs.withColumnRenamed("x", "block"), ["cluster", "block"]).select(*name, F.xxhash64("cluster", "block", "y").alias("task"))
     right = state.join(pairs.withColumnRenamed("y", "block"), ["cluster", "block"]).select(*name, F.xxhash64("cluster", "x", "block").alias("task"))
     more = _linked(source, left.unionByName(right).distinct(), None, num, den).select("a", "b")
