@@ -109,7 +109,9 @@ def chosen_paths(sk: np.ndarray, trees: int, branch: int, seed: int) -> np.ndarr
 def _exact_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Component labels under den * |A & B| >= num * |A | B|.
 
-    Pivots are taken until all that are left lie in one component; a pivot is compared with every set at once.
+    Pivots are taken until all that are left lie in one component. A pivot is compared with the sets outside its component that
+    share one of its rarest tokens: with the rarest first, linked sets of size k have one in common among their first k - a + 1, a being
+    the least intersection that a link of such a set can have.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
@@ -117,9 +119,20 @@ def _exact_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     if n == 2:
         inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.zeros(2, int) if inter and den * inter >= num * (size.sum() - inter) else np.arange(2)
-    _, code = np.unique(flat, return_inverse=True)
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
     start = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(int(code.max(initial=0)) + 1, np.int32)
+    rank = np.empty(len(often), np.int32)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.int32)
+    who = np.repeat(np.arange(n, dtype=np.int32), size)
+    token = rank[code]
+    token = token[np.lexsort((token, who))]
+    head = size - (num * size + den - 1) // den + 1
+    first = np.arange(len(token)) - start[who] < head[who]
+    first_token = token[first]
+    post = who[first][np.argsort(first_token, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(first_token, minlength=len(often)))])
+    del flat, code, rank, who, first, first_token
+    mark = np.zeros(len(often), np.int32)
     label = np.arange(n)
     todo = np.ones(n, bool)
     todo[size == 0] = False
@@ -131,16 +144,23 @@ def _exact_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         seen, counts = np.unique(label[left], return_counts=True)
         if len(seen) == 1:
             break
-        pick = order[todo[order]]
-        p = pick[0] if todo.all() else left[label[left] == seen[np.argmin(counts)]][0]
-        mark[code[start[p] : start[p + 1]]] = 1
-        hits = np.concatenate([[0], np.cumsum(mark[code])])
-        inter = hits[start[1:]] - hits[start[:-1]]
-        mark[code[start[p] : start[p + 1]]] = 0
-        links = np.flatnonzero((inter > 0) & (den * inter >= num * (size + size[p] - inter)))
+        p = order[0] if todo.all() else left[label[left] == seen[np.argmin(counts)]][0]
         todo[p] = False
-        joined = np.unique(label[links])
-        label[np.isin(label, joined)] = joined.min()
+        own = token[start[p] : start[p + 1]]
+        near = np.zeros(n, bool)
+        for k in own[: head[p]][at[own[: head[p]] + 1] - at[own[: head[p]]] > 1]:
+            near[post[at[k] : at[k + 1]]] = True
+        near &= (label != label[p]) & (den * size >= num * size[p]) & (den * size[p] >= num * size)
+        met = np.flatnonzero(near)
+        if len(met) == 0:
+            continue
+        end = np.cumsum(size[met])
+        mark[own] = 1
+        inter = np.add.reduceat(mark[token[np.arange(end[-1]) + np.repeat(start[met] - end + size[met], size[met])]], end - size[met]).astype(np.int64)
+        mark[own] = 0
+        links = met[den * inter >= num * (size[met] + size[p] - inter)]
+        label_of = np.unique(label[np.append(links, p)])
+        label[np.isin(label, label_of)] = label_of.min()
     return label
 
 
@@ -362,17 +382,17 @@ def _confirm(spark: SparkSession, source: DataFrame, cluster: DataFrame, num: in
     pairs = odd.join(size.select("cluster", "blocks"), "cluster").select("cluster", F.col("block").alias("x"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("y"))
     left = rest.join(pairs.withColumnRenamed("x", "block"), ["cluster", "block"]).select(*name, F.xxhash64("cluster", "block", "y").alias("task"))
     right = state.join(pairs.withColumnRenamed("y", "block"), ["cluster", "block"]).select(*name, F.xxhash64("cluster", "x", "block").alias("task"))
-    more = _linked(source, left.unionByName(right).distinct(), None, num, den).select("a", "b")
+    again = cut(spark, left.unionByName(right).distinct(), "again")
+    more = _linked(source, again, again.count(), num, den)
     final = components(spark, part.unionByName(more))
     whole = many.select("cid").join(final, F.col("cid") == F.col("id"), "left").select(F.col("cid").alias("id"), F.coalesce("component", "cid").alias("component"))
     return single.unionByName(whole)
 
 
-def _linked(source: DataFrame, tasks: DataFrame, rows: int | None, num: int, den: int) -> DataFrame:
+def _linked(source: DataFrame, tasks: DataFrame, rows: int, num: int, den: int) -> DataFrame:
     """Star edges between classes that a task of tasks(cid, doc_id, tkey, task) links; doc_id and tkey find the text of a class."""
     side = tasks.withColumnsRenamed({"doc_id": "at_id", "tkey": "at_key"})
-    side = side if rows is None else small(side, rows, 96)
-    placed = source.join(side, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tkey") == F.col("at_key"))).select("task", "cid", "text")
+    placed = source.join(small(side, rows, 96), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tkey") == F.col("at_key"))).select("task", "cid", "text")
     return placed.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(num, den), "task long, a long, b long").select("a", "b").distinct()
 
 
