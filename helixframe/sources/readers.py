@@ -1,7 +1,8 @@
 """Spark data sources for sequence files: format("fastq"), "fasta", "genbank", "embl", "swiss".
 
 Plain FASTQ of four-line records is cut into splits (a split starts at a verified record); FASTA and flat files are read
-a file per task, and gzip is recognised by its bytes, never by its name. A path with a scheme (hdfs, s3, gs) is read through the
+a file per task. All are read a few megabytes at a time and given out in record batches, so a task holds a piece, a batch and a
+record whatever the size of the file. Gzip is recognised by its bytes, never by its name. A path with a scheme (hdfs, s3, gs) is read through the
 file system that it names, on the driver and in tasks alike. Options: `columns` names the costly nested columns to parse
 (flat files), `name` keeps one record, `split_bytes` sets the size of a split, `mode` is failfast or permissive
 (a malformed file then ends at its first bad record).
@@ -21,6 +22,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import flatfile, records
 
@@ -69,8 +72,8 @@ def files(path: str) -> list[str]:
     return found
 
 
-#: Records of an Arrow batch.
-BATCH = 10_000
+#: Records and bytes of sequence of an Arrow batch.
+BATCH, BATCH_BYTES = 10_000, 8 << 20
 
 
 class _FastqBatches:
@@ -93,26 +96,57 @@ class _FastqBatches:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "record_index" else pa.string()) for n, c in zip(self.NAMES, columns)], self.NAMES)
 
 
-def _whole_records(f, start: int, end: int, size: int) -> tuple[bytes, int]:
-    """The records of a split and their place: from the first one that starts in it to the first that starts after it.
+def _record_at(f, at: int, size: int) -> int:
+    """The place of the first plain FASTQ record that starts at or after a byte, or the end of the file.
 
-    Both ends are looked for from the byte before them, so the split behind finds the same place; more is read until it can be told.
+    It is looked for from the byte before, so the splits on both sides find the same place; more is read until it can be told.
     """
-    first = max(0, start - 1)
-    f.seek(first)
-    data, margin = f.read(end - first + (1 << 16)), 1 << 20
+    if at <= 0 or at >= size:
+        return max(0, min(at, size))
+    f.seek(at - 1)
+    data = f.read(1 << 16)
     while True:
-        whole = first + len(data) >= size
-        begin = records.fastq_start(data, start - first, whole)
-        stop = len(data) if whole and end >= size else records.fastq_start(data, end - first, whole)
-        if begin is not None and stop is not None:
-            return data[begin:stop], first + begin
-        data += f.read(margin)
+        found = records.fastq_start(data, 1, at - 1 + len(data) >= size)
+        if found is not None:
+            return at - 1 + found
+        data += f.read(max(1 << 20, len(data)))
+
+
+def _span(f, start: int, end: int) -> Iterator[bytes]:
+    """The bytes of a file from start to end, a piece at a time."""
+    f.seek(start)
+    while start < end and (piece := f.read(min(records.PIECE, end - start))):
+        yield piece
+        start += len(piece)
+
+
+def plain_head(head: bytes) -> bool:
+    """Whether a file that begins so may be cut into splits."""
+    return head[:1] == b"@" and b"\r" not in head
+
+
+def fastq_batches(path: str, start: int, end: int, name: str | None = None, strict: bool = True, label: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The record batches of a split of a FASTQ file, or of a whole one; label is the path that the records show."""
+    where, inside = system(path)
+    with where.open_input_file(inside) as f:
+        size, base = f.size(), 0
+        if start == 0 and end >= size:
+            data = records.pieces(f)
+        else:  # in a split the byte offset numbers the records: unique and in file order
+            base, stop = _record_at(f, start, size), _record_at(f, end, size)
+            data = _span(f, base, stop)
+        batch = _FastqBatches(label or path, base, name)
+        try:
+            for table in records.fastq_tables(data, BATCH, base):
+                yield from batch.put(*table)
+        except records.FormatError:
+            if strict:
+                raise
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict, fmt: str):
-        self.options, self.fmt = dict(options), fmt
+    def __init__(self, options: dict, fmt: str, schema: StructType | None = None):
+        self.options, self.fmt, self.schema = dict(options), fmt, schema
         self.name = self.options.get("name")
         self.strict = self.options.get("mode", "failfast").lower() != "permissive"
 
@@ -130,74 +164,61 @@ class _Reader(DataSourceReader):
             where, inside = system(path)
             with where.open_input_file(inside) as f:
                 n, head = f.size(), f.read(1 << 16)
-            plain = self.fmt == "fastq" and head[:2] != b"\x1f\x8b" and b"\r" not in head and head[:1] == b"@" and self.options.get("wrapped", "false") != "true"
+            plain = self.fmt == "fastq" and plain_head(head) and self.options.get("wrapped", "false") != "true"
             if plain and n > size:
                 out += [Split(path, a, min(a + size, n)) for a in range(0, n, size)]
             else:
                 out.append(Split(path, 0, n))
         return out or [Split("", 0, 0)]
 
-    def read(self, part: Split) -> Iterator[tuple | pa.RecordBatch]:
+    def read(self, part: Split) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
+        if self.fmt == "fastq":
+            yield from fastq_batches(part.path, part.start, part.end, self.name, self.strict)
+            return
         where, inside = system(part.path)
         with where.open_input_file(inside) as f:
-            size = f.size()
-            if part.start == 0 and part.end == size:
-                data, base = f.read(), 0
-            else:
-                data, base = _whole_records(f, part.start, part.end, size)
+            yield from self.batches(self.rows(part.path, f))
+
+    def batches(self, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        """Record batches of the rows that come before a bad record, bounded by number and by bytes of sequence."""
+        kinds = to_arrow_schema(self.schema)
+        at, held, size = self.schema.names.index("sequence"), [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held), kinds)], self.schema.names)
+
         try:
-            yield from self.rows(part.path, data, base)
+            for r in rows:
+                held.append(r)
+                size += len(r[at])
+                if len(held) == BATCH or size > BATCH_BYTES:
+                    yield batch()
+                    held, size = [], 0
         except records.FormatError:
             if self.strict:
                 raise
-
-    def rows(self, path: str, data: bytes, base: int) -> Iterator[tuple | pa.RecordBatch]:
-        if self.fmt == "fastq":
-            # in a split the byte offset numbers the records: unique and in file order
-            data = records.inflate(data)
-            plain = records.plain_fastq(data)
-            batch = _FastqBatches(path, base, self.name)
-            if plain is not None:
-                for i in range(0, len(plain[0]), BATCH):
-                    yield from batch.put(*(x[i : i + BATCH] for x in plain))
-                return
-            held: list[tuple] = []
-            try:
-                for r in records.parse_fastq(data, 0, base):
-                    held.append(r)
-                    if len(held) == BATCH:
-                        yield from batch.put(*map(list, zip(*held)))
-                        held = []
-            except records.FormatError:
-                if self.strict:
-                    raise
-            if held:
-                yield from batch.put(*map(list, zip(*held)))
-        elif self.fmt == "fasta":
-            if data[:2] == b"\x1f\x8b" and self.options.get("gzip", "refuse") != "allow":
+        if held:
+            yield batch()
+
+    def rows(self, path: str, f) -> Iterator[tuple]:
+        head = f.read(2)
+        f.seek(0)
+        if self.fmt == "fasta":
+            if head == b"\x1f\x8b" and self.options.get("gzip", "refuse") != "allow":
                 raise records.FormatError(f"{path}: gzip input is refused for FASTA; pass gzip=allow")
-            for i, (title, seq) in enumerate(records.parse_fasta(records.inflate(data))):
+            for i, (title, seq) in enumerate(records.parse_fasta(records.pieces(f))):
                 name, rest = records.key_of(title)
                 if self.name is None or name == self.name:
                     yield path, i, name, rest, title, seq
         else:
+            if head == b"\x1f\x8b":
+                raise records.FormatError("gzip input is refused for flat files")
             want = frozenset(self.options.get("columns", "features,annotations").split(","))
-            for i, r in enumerate(flatfile.parse(data, self.fmt, want)):
+            for i, r in enumerate(flatfile.parse(records.pieces(f), self.fmt, want)):
                 if self.name is None or r["id"] == self.name:
-                    yield path, i, r["id"], r["name"], r["description"], r["sequence"], _tuples(r["features"]), r["features_error"], _annotation(r["annotations"]), r["annotations_error"]
-
-
-def _tuples(x):
-    if isinstance(x, dict):
-        return tuple(_tuples(v) for v in x.values())
-    return [_tuples(v) for v in x] if isinstance(x, list) else x
-
-
-def _annotation(a: dict | None):
-    keys = "key_order molecule_type topology data_file_division date accessions sequence_version gi keywords source organism taxonomy references comment".split()
-    return None if a is None else tuple(_tuples(a.get(k)) for k in keys)
+                    yield path, i, r["id"], r["name"], r["description"], r["sequence"], r["features"], r["features_error"], r["annotations"], r["annotations_error"]
 
 
 def _source(fmt: str, schema: str) -> type[DataSource]:
@@ -210,7 +231,7 @@ def _source(fmt: str, schema: str) -> type[DataSource]:
             return schema
 
         def reader(self, schema):
-            return _Reader(self.options, fmt)
+            return _Reader(self.options, fmt, schema)
 
     Source.__name__ = f"{fmt.title()}Source"
     return Source
