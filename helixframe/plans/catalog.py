@@ -283,7 +283,7 @@ def _flat(fmt: str):
             record = F.concat(F.lit("ID   "), ident, F.lit("; SV 1; linear; genomic DNA; STD; SYN; "), n.cast("string"), F.lit(" BP.\nAC   "), ident, F.lit(";\nDE   derived sequence\nFH   Key             Location/Qualifiers\nFT   gene            complement(1.."), n.cast("string"), F.lit(')\nFT                   /note="all of it"\nSQ   Sequence '), n.cast("string"), F.lit(" BP;\n"), body, F.lit("\n//"))
         rows.select(record.alias("value")).write.text(path)
         f = F.col("features")[0]
-        return readers.read(s, fmt, path).select("id", "name", "description", "sequence", f["type"].alias("type"), f["location"]["parts"][0]["end"]["value"].alias("feature_end"), f["location"]["parts"][0]["strand"].alias("strand"))
+        return readers.read(s, fmt, path, columns="features").select("id", "name", "description", "sequence", f["type"].alias("type"), f["location"]["parts"][0]["end"]["value"].alias("feature_end"), f["location"]["parts"][0]["strand"].alias("strand"))
 
     return query
 
