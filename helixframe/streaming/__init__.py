@@ -5,23 +5,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources import records
+from ..sources import readers
 
 _SCHEMA = "file string, record_index long, name string, description string, title string, sequence string, quality string"
 
 
-def stream_fastq(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """readStream of FASTQ files, plain or gzip, as they land in a folder; each file is parsed in one task."""
-    raw = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+def stream_fastq(spark: SparkSession, folder: str, files_per_batch: int = 100, split_bytes: int = 16 << 20) -> DataFrame:
+    """readStream of FASTQ files, plain or gzip, as they land in a folder.
 
-    def parse(batches) -> Iterator:
-        import pyarrow as pa
+    Only paths and sizes go through the stream; tasks read the files by splits of plain four-line records, others as a whole, a few
+    megabytes at a time. In a file of several splits byte offsets number the records.
+    """
+    found = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
+    splits = found.select("path", "length", starts.alias("start")).repartition("path", "start")
 
+    def parse(batches) -> Iterator:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = [(path, i, *records.key_of(t), t, s, q) for i, (t, s, q) in enumerate(records.parse_fastq(records.inflate(content)))]
-                cols = list(zip(*rows)) if rows else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[2:])], ["file", "record_index", "name", "description", "title", "sequence", "quality"])
-
-    return raw.select("path", "content").mapInArrow(parse, _SCHEMA)
+            for path, length, start in zip(*(b.column(k).to_pylist() for k in ("path", "length", "start"))):
+                where, inside = readers.system(path)
+                with where.open_input_file(inside) as f:
+                    head = f.read(1 << 16)
+                if length <= split_bytes or not readers.plain_head(head):
+                    if start == 0:
+                        yield from readers.fastq_batches(path, 0, length)
+                else:
+                    yield from readers.fastq_batches(path, start, min(start + split_bytes, length))
+
+    return splits.mapInArrow(parse, _SCHEMA)
