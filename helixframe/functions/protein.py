@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import load
-from .sequence import _c, count_letters, counted, lookup, molecular_weight
+from . import kernels
+from .sequence import _c, bound, count_letters, counted, lookup, molecular_weight
 
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -21,8 +22,7 @@ def _upper(seq: str | Column) -> Column:
 
 def residue_counts(seq: str | Column) -> Column:
     """A2: map of the 20 residues to their counts, zeros included."""
-    s = _upper(seq)
-    return F.create_map(*[x for a in AMINO_ACIDS for x in (F.lit(a), count_letters(s, a))])
+    return bound(_upper(seq), lambda s: F.create_map(*[x for a in AMINO_ACIDS for x in (F.lit(a), count_letters(s, a))]))
 
 
 def _share(s: Column, a: str) -> Column:
@@ -31,8 +31,7 @@ def _share(s: Column, a: str) -> Column:
 
 def residue_percent(seq: str | Column) -> Column:
     """Percent of each residue; null for an empty sequence."""
-    s = _upper(seq)
-    return F.when(F.length(s) > 0, F.create_map(*[x for a in AMINO_ACIDS for x in (F.lit(a), _share(s, a))]))
+    return bound(_upper(seq), lambda s: F.when(F.length(s) > 0, F.create_map(*[x for a in AMINO_ACIDS for x in (F.lit(a), _share(s, a))])))
 
 
 def _sum_shares(s: Column, letters: str) -> Column:
@@ -44,15 +43,13 @@ def _sum_shares(s: Column, letters: str) -> Column:
 
 def aromaticity(seq: str | Column) -> Column:
     """Share of Y, W and F."""
-    s = _upper(seq)
-    return F.when(F.length(s) > 0, _sum_shares(s, "YWF"))
+    return bound(_upper(seq), lambda s: F.when(F.length(s) > 0, _sum_shares(s, "YWF")))
 
 
 def secondary_structure(seq: str | Column) -> Column:
     """P10: shares of helix, turn and sheet formers."""
-    s = _upper(seq)
     parts = (("helix", "EMALK"), ("turn", "NPGSD"), ("sheet", "VIYFWLT"))
-    return F.when(F.length(s) > 0, F.struct(*[_sum_shares(s, x).alias(n) for n, x in parts]))
+    return bound(_upper(seq), lambda s: F.when(F.length(s) > 0, F.struct(*[_sum_shares(s, x).alias(n) for n, x in parts])))
 
 
 def extinction(seq: str | Column) -> Column:
@@ -101,43 +98,15 @@ def gravy(seq: str | Column, scale: str = "KyteDoolitle", ordered: bool = False)
 
 def instability(seq: str | Column) -> Column:
     """10 / length times the plain sum of dipeptide weights; an unknown residue fails the query."""
-    p = load("protein")
-    weights = F.array(*[F.lit(float(w)) for row in p["DIWV"] for w in row])
     s = _upper(seq)
-    pairs = F.regexp_extract_all(s, F.lit("(?s)(?=(..))"), F.lit(1))
-
-    def value(a: Column) -> Column:
-        x, y = (F.instr(F.lit(AMINO_ACIDS), F.substring(a, k, 1)) for k in (1, 2))
-        return F.when(F.least(x, y) > 0, F.element_at(weights, (x - 1) * 20 + y)).otherwise(F.raise_error(F.concat(F.lit("unknown dipeptide "), a)).cast("double"))
-
-    total = F.aggregate(pairs, F.lit(0.0), lambda t, a: t + value(a))
+    total = kernels.call(kernels.pair_sum(AMINO_ACIDS, load("protein")["DIWV"]), s)
     return F.when(F.length(s) > 0, F.lit(10.0) / F.length(s).cast("double") * total)
 
 
-def _at(x: Column, i: Column) -> Column:
-    return F.element_at(x, i.cast("int"))
-
-
-def _bound(x: Column, body) -> Column:
-    """body(x) with x computed once per row: an expression named inside a lambda is computed again at every step."""
-    return F.element_at(F.transform(F.array(x), body), 1)
-
-
 def flexibility(seq: str | Column) -> Column:
     """P5: sliding window of nine with the middle weighed from the sixth place; length minus nine windows."""
-    values = lookup(dict(zip(AMINO_ACIDS, load("protein")["FLEX"])))
-    s = _upper(seq)
-    x = F.transform(_letters(s), lambda a: F.coalesce(F.try_element_at(values, a), F.raise_error(F.concat(F.lit("unknown residue "), a)).cast("double")))
-    weights = [0.25, 0.4375, 0.625, 0.8125]
-
-    def one(v: Column, i: Column) -> Column:
-        score = F.lit(0.0)
-        for j, w in enumerate(weights):
-            score = score + (_at(v, i + j) + _at(v, i + 8 - j)) * w
-        return (score + _at(v, i + 5)) / 5.25
-
-    out = _bound(x, lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - 9), lambda i: one(v, i)))
-    return F.when(F.length(s) > 9, out).otherwise(F.array().cast("array<double>"))
+    values = dict(zip(AMINO_ACIDS, load("protein")["FLEX"]))
+    return kernels.call(kernels.flexibility(values, [0.25, 0.4375, 0.625, 0.8125]), _upper(seq))
 
 
 def protein_scale(seq: str | Column, scale: dict[str, float] | str, window: int, edge: float = 1.0) -> Column:
@@ -145,24 +114,8 @@ def protein_scale(seq: str | Column, scale: dict[str, float] | str, window: int,
     if window <= 1:
         raise ZeroDivisionError("division by zero")
     values = scale_values(scale) if isinstance(scale, str) else scale
-    half = window // 2
     unit = 2 * (1.0 - edge) / (window - 1)
-    weights = [edge + unit * i for i in range(half)]
-    total = sum(weights) * 2 + 1
-    m = lookup(values)
-    s = _upper(seq)
-    x = F.transform(_letters(s), lambda a: F.try_element_at(m, a))
-
-    def one(v: Column, i: Column) -> Column:
-        score = F.lit(0.0)
-        for j, w in enumerate(weights):
-            score = score + F.coalesce(_at(v, i + j) * w + _at(v, i + window - 1 - j) * w, F.lit(0.0))
-        if window % 2:
-            score = score + F.coalesce(_at(v, i + half), F.lit(0.0))
-        return score / total
-
-    out = _bound(x, lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - (window - 1)), lambda i: one(v, i)))
-    return F.when(F.length(s) >= window, out).otherwise(F.array().cast("array<double>"))
+    return kernels.call(kernels.scale(values, window, [edge + unit * i for i in range(window // 2)]), _upper(seq))
 
 
 def _content(s: Column) -> Column:
@@ -194,7 +147,7 @@ def _charge(c: Column, ph: Column) -> Column:
 def charge(seq: str | Column, ph: float = 7.0) -> Column:
     """Net charge at a pH."""
     s = _upper(seq)
-    return F.when(F.length(s) > 0, _bound(_content(s), lambda c: _charge(c, F.lit(float(ph)))))
+    return F.when(F.length(s) > 0, bound(_content(s), lambda c: _charge(c, F.lit(float(ph)))))
 
 
 def isoelectric_point(seq: str | Column, ph: float = 7.775, low: float = 4.05, high: float = 12.0) -> Column:
@@ -208,5 +161,5 @@ def isoelectric_point(seq: str | Column, ph: float = 7.775, low: float = 4.05, h
         new = F.struct(((lo + hi) / 2).alias("p"), lo.alias("lo"), hi.alias("hi"))
         return F.when(acc["hi"] - acc["lo"] > 0.0001, new).otherwise(acc)
 
-    out = _bound(_content(s), lambda c: F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, lambda acc, _: step(c, acc), lambda a: a["p"]))
+    out = bound(_content(s), lambda c: F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, lambda acc, _: step(c, acc), lambda a: a["p"]))
     return F.when(F.length(s) > 0, out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,20 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, body) -> Column:
+    """body(x) with x computed once per row: an expression named inside a lambda or a branch is computed again at every use."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def count_letters(seq: Column, letters: str) -> Column:
-    """How many characters of seq are among letters: two length calls and a translate."""
-    return F.length(seq) - F.length(F.translate(seq, letters, ""))
+    """How many characters of seq are among letters: the bytes that it loses with them. Few plain letters are replaced one after the
+    other, which is several times faster than a translate that looks every character up."""
+    if not letters.isascii() or len(letters) > 8:
+        return F.length(seq) - F.length(F.translate(seq, letters, ""))
+    rest = seq
+    for a in letters:
+        rest = F.replace(rest, F.lit(a), F.lit(""))
+    return F.octet_length(seq) - F.octet_length(rest)
 
 
 def complement(seq: str | Column) -> Column:
@@ -116,11 +129,16 @@ def compensated(values: Column) -> Column:
 
 def counted(s: Column, values: dict[str, float], message: str) -> Column:
     """Sum of the values of all letters of s, by their counts in one fixed order; a letter without a value fails the query."""
-    total = F.lit(0.0)
-    for a, v in values.items():
-        total = total + count_letters(s, a).cast("double") * F.lit(float(v))
-    other = F.translate(s, "".join(values), "")
-    return F.when(F.length(other) == 0, total).when(other.isNotNull(), F.raise_error(F.concat(F.lit(message.split("{}")[0]), F.substring(other, 1, 1), F.lit(message.split("{}")[1]))).cast("double"))
+    other = f"(?s)[^{re.escape(''.join(values))}]"
+
+    def total(x: Column) -> Column:
+        out = F.lit(0.0)
+        for a, v in values.items():
+            out = out + count_letters(x, a).cast("double") * F.lit(float(v))
+        bad = F.raise_error(F.concat(F.lit(message.split("{}")[0]), F.regexp_extract(x, other, 0), F.lit(message.split("{}")[1]))).cast("double")
+        return F.when(~x.rlike(other), out).when(x.isNotNull(), bad)
+
+    return bound(s, total)
 
 
 def lookup(values: dict[str, float]) -> Column:

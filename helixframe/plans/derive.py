@@ -30,7 +30,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dna(letters: str, keep: str):
-    return F.upper(F.regexp_replace(F.translate(F.lower("text"), ABC, letters), f"[^{keep}]", ""))
+    return F.upper(F.regexp_replace(F.translate(F.lower("text"), ABC, letters), f"[^{keep}]+", ""))
 
 
 def dna(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def dna(spark: SparkSession, d: str) -> DataFrame:
 
 
 def protein(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", F.upper(F.regexp_replace(F.lower("text"), "[^acdefghiklmnpqrstvwy]", "")).alias("seq"))
+    return documents(spark, d).select("doc_id", F.upper(F.regexp_replace(F.lower("text"), "[^acdefghiklmnpqrstvwy]+", "")).alias("seq"))
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
