@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..dims import codes
+from ..functions import kernels
 from ..functions import sequence as sq
 from ..sources.sinks import phred
 
@@ -25,7 +26,12 @@ def kmer_counts_streaming(df: DataFrame, k: int, seq: str = "sequence") -> DataF
 
 
 def codon_counts(df: DataFrame, seq: str = "sequence", by: list[str] | None = None) -> DataFrame:
-    keys = by or []
+    """Counts of the whole codons, in all or per group; in all, a batch of sequences is a row per codon before the shuffle."""
+    if not by:
+        kernels.batches(df.sparkSession)
+        each = df.select(F.upper(F.col(seq)).alias("seq")).mapInArrow(kernels.codon_totals("seq"), "codon string, n bigint")
+        return each.groupBy("codon").agg(F.sum("n").alias("n"))
+    keys = by
     return df.select(*keys, F.explode(sq.codons(seq)).alias("codon")).groupBy(*keys, "codon").agg(F.count("*").alias("n"))
 
 
@@ -48,22 +54,17 @@ def codon_adaptation_index(spark: SparkSession, genes: DataFrame, seq: str = "se
 def codon_adaptation(genes: DataFrame, index: DataFrame, key: str = "id", seq: str = "sequence") -> DataFrame:
     """A4: rows (key, cai, n_codons): exp of the mean log w without ATG and TGG; genes without other codons give null.
 
-    The index has 64 rows and is gathered; a gene is one expression over its own codons, so nothing is shuffled and genes that
+    The index has 64 rows and is gathered; a gene's logs are added in a vector kernel, so nothing is shuffled and genes that
     share a key stay apart. A codon without a weight fails the query unless it is a stop, which is then left out.
     """
     w = {r.codon: r.w for r in index.select("codon", "w").collect()}
-    order = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT"]
-    logs = F.array(*[F.lit(math.log(w[c]) if w.get(c) else None).cast("double") for c in order])
-
-    def value(codon: Column) -> Column:
-        p = [F.instr(F.lit("ACGT"), F.substring(codon, k, 1)) for k in (1, 2, 3)]
-        x = F.when(F.least(*p) > 0, F.element_at(logs, (p[0] - 1) * 16 + (p[1] - 1) * 4 + p[2]))
-        return F.coalesce(x, F.raise_error(F.concat(F.lit("illegal codon in sequence: "), codon)).cast("double"))
-
     left_out = ["ATG", "TGG"] + [c for c in ("TGA", "TAA", "TAG") if not w.get(c)]
-    used = genes.select(key, F.filter(sq.codons(seq), lambda c: ~c.isin(*left_out)).alias("c"))
-    mean = F.aggregate("c", F.lit(0.0), lambda s, c: s + value(c)) / F.size("c")
-    return used.select(key, F.when(F.size("c") > 0, F.exp(mean)).alias("cai"), F.when(F.size("c") > 0, F.size("c")).cast("long").alias("n_codons"))
+    logs = {c: math.log(x) for c, x in w.items() if x}
+    kernels.batches(genes.sparkSession)
+    # named nondeterministic so that a filter on the result is not pushed below and the genes are not read twice
+    used = genes.select(key, kernels.codon_logs(logs, left_out).asNondeterministic()(F.upper(F.col(seq))).alias("c"))
+    some = F.col("c.n") > 0
+    return used.select(key, F.when(some, F.exp(F.col("c.s") / F.col("c.n"))).alias("cai"), F.when(some, F.col("c.n")).cast("long").alias("n_codons"))
 
 
 def adaptation_text(index: DataFrame) -> DataFrame:
