@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import codes
-from .sequence import _c, codons, gc_fraction, reverse_complement
+from . import kernels
+from .sequence import _FROM, _TO, _c, codons, gc_fraction
 
 
 _LETTERS = "".join(codes.DNA_CODES)
@@ -39,6 +40,8 @@ def translate(seq: str | Column, table: int | str = "Standard", stop_symbol: str
         if to_stop:
             raise ValueError(f"You cannot use 'to_stop=True' with this table as it contains {len(code.dual)} codon(s) which can be both STOP and an amino acid.")
         warnings.warn(f"This table contains {len(code.dual)} codon(s) which code(s) for both STOP and an amino acid (e.g. '{code.dual[0][0]}' -> '{code.dual[0][1]}' or STOP).", stacklevel=2)
+    if not cds and gap is None:
+        return kernels.call(kernels.translated(kernels.Reader(_LETTERS, code.codon_map(), stop_symbol), to_stop), _c(seq))
     residue = _reader(code, stop_symbol, gap)
     s = F.translate(F.upper(_c(seq)), "U", "T")
     parts = codons(s)
@@ -61,15 +64,10 @@ def translate(seq: str | Column, table: int | str = "Standard", stop_symbol: str
 
 def six_frames(seq: str | Column, table: int | str = 1) -> Column:
     """Array of (frame, protein) for frames 1, 2, 3, -1, -2, -3; explode it for a relation."""
-    s = _c(seq)
-    anti = reverse_complement(s)
-    n = F.length(s)
-    out = []
-    for sign, x in ((1, s), (-1, anti)):
-        for i in range(3):
-            part = F.substring(x, F.lit(i + 1), F.greatest(n - i, F.lit(0)))
-            out.append(F.struct(F.lit(sign * (i + 1)).alias("frame"), translate(part, table).alias("protein")))
-    return F.array(*out)
+    code = codes.get(table)
+    if code.dual:
+        translate(seq, table)  # its warning
+    return kernels.call(kernels.six_frames(kernels.Reader(_LETTERS, code.codon_map(), "*", dict(zip(_FROM, _TO)))), _c(seq))
 
 
 def six_frame_text(seq: str, table: int | str = 1) -> str:
