@@ -71,3 +71,38 @@ def test_all_letters_of_every_read_are_aligned(spark, folder):
         want[r["name"]] = (x["score"], x["identities"], x["mismatches"], x["gaps"])
     got = {r["name"]: tuple(r)[1:] for r in catalog.QUERIES["l4_alignments"](spark, folder).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("options", [GLOBAL, LOCAL, ("local", 2, 1, -2, -1), ("global", 5, -4, -9, -3), ("local", 5, -4, -1, -3), ("global", 60, -4, -9, -3), ("global", 1, 0, -2, -1, 0, 0)])
+def test_pairs_of_all_lengths_go_together(options, monkeypatch):
+    """Shorter pairs are filled up and share the tables of longer ones: the results of pair by pair, with few pairs left alone."""
+    rng, al = random.Random(7), Aligner(*options)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    pairs = [(word(rng.randint(1, 40)), word(rng.randint(1, 14))) for _ in range(600)] + [(word(40), word(14)) for _ in range(300)] + [(None, "A"), ("", "A"), ("A", "")] * 3
+    rng.shuffle(pairs)
+    a, b = map(list, zip(*pairs))
+    keys = ("score", "gapped_first", "gapped_second", "identities", "mismatches", "gaps")
+    alone: list = []
+
+    def one(p, q):
+        alone.append(p)
+        return al.score(p, q)
+
+    want = [al.score(p, q) if p and q else None for p, q in pairs]
+    assert al._each(a, b, one, lambda p, q: al._batch(p, q, False)[0].tolist()) == want
+    mixed = al.mode == "global" and not al.free or al.mode == "local" and al.mismatch <= 0
+    assert not mixed or len(alone) < 60
+    parts = list(al._parts(a, b, False))
+    assert sorted(r for p in parts for r in p) == [r for r, w in enumerate(want) if w is not None]
+    if al.mode == "global" and not al.free:
+        want = [tuple(al.align(p, q)[k] for k in keys) if p and q else None for p, q in pairs]
+        assert al._each(a, b, lambda p, q: tuple(al.align(p, q)[k] for k in keys), al._paths, True) == want
+
+
+def test_letters_that_fill_up_are_kept_apart():
+    al = Aligner(*LOCAL)
+    pairs = [("AC\0", "\0"), ("\0" * 9, "A\1")] * 20 + [("\1\1", "\1\0\1")] * 9
+    a, b = map(list, zip(*pairs))
+    assert al._each(a, b, al.score, lambda p, q: al._batch(p, q, False)[0].tolist()) == [al.score(p, q) for p, q in pairs]
+    with pytest.raises(ValueError, match="above U"):
+        al._each(["Ā"] * 9, ["A"] * 9, al.score, lambda p, q: al._batch(p, q, False)[0].tolist())
