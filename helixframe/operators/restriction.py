@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..dims import ENZYME_FIELDS, enzyme_table, load, supplier_table
+from ..functions import kernels
 
 _LETTERS = {w[0]: w[1:] for w in "AA CC GG TT RAG YCT WAT SGC MAC KGT HACT BCGT VACG DAGT NACGT".split()}
 _COMPLEMENT = str.maketrans("ACGTRYWSMKHBVDN", "TGCAYRWSKMDVBHN")
@@ -181,7 +182,8 @@ _CUTS = ArrayType(StructType([StructField("enzyme", StringType()), StructField("
 
 
 def digest(batch: list[str], linear: bool = True):
-    """Column function of a sequence: an array of (enzyme, cuts) for every enzyme of the batch."""
+    """Column function of a sequence: an array of (enzyme, cuts) for every enzyme of the batch. Arrow batches are bounded by bytes."""
+    kernels.batches()
     chosen = sorted(batch)
     for b in chosen:
         get_enzyme(b)
@@ -197,7 +199,8 @@ def digest(batch: list[str], linear: bool = True):
 
 
 def catalyse(name: str, linear: bool = True):
-    """R4 as a Column function: the array of fragments."""
+    """R4 as a Column function: the array of fragments. Arrow batches are bounded by bytes."""
+    kernels.batches()
     get_enzyme(name)
 
     @F.udf(ArrayType(StringType()), useArrow=True)

@@ -150,3 +150,20 @@ def test_batches_are_bounded(spark):
 
     for r in sizes.mapInArrow(run, "rows long, size long").collect():
         assert r.rows <= 2_000 and r.size < 4 << 20
+
+
+def test_digests_get_bounded_batches(spark):
+    from helixframe.operators import restriction as rs
+
+    def run(s):
+        import pyarrow as pa
+
+        return pa.array([len(s)] * len(s), pa.int64())
+
+    for key, most in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", str(64 << 20))):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+    df = spark.range(4_000).select(F.concat(F.repeat(F.lit("ACGT"), 2_500), F.lit("GAATTC")).alias("s")).coalesce(1)
+    found = rs.search(df, ["EcoRI"], "s")
+    largest = df.select(F.arrow_udf(run, "bigint")("s").alias("n")).agg(F.max("n")).first()[0]
+    assert largest < 1_000  # 10 KB each: about a megabyte, not 10,000 rows
+    assert found.agg(F.sum("n_cuts")).first()[0] == 4_000
